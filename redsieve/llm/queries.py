@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from redsieve.llm.common import table
+from redsieve.llm.neardup import near_duplicates
 from redsieve.llm.outliers import outlier_verdicts
 from redsieve.llm.qda import quality_scores
 
@@ -21,8 +22,13 @@ def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 QUERIES: dict[str, Query] = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op4_bottom_k_near_duplicates": op4_bottom_k_near_duplicates,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
 }
 
