@@ -5,23 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from redsieve.llm.common import saved, table
+from redsieve.llm.mixing import mixed
+from redsieve.llm.neardup import without_near_duplicates
 from redsieve.llm.outliers import without_outliers
+from redsieve.llm.packing import pack
 from redsieve.llm.qda import without_low_quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and aren't outliers of their language and source."""
     return without_outliers(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted to be of quality 1."""
     return without_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8."""
+    return without_near_duplicates(docs, shingle_words=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a document that is taken twice is there twice."""
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece, with its sequence."""
+    return pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
 ]
 
+#: Distances, learnt scores and tokenizers aren't SQL; tests/llm holds each stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from redsieve.llm.common import table
+from redsieve.llm import mixing
 from redsieve.llm.neardup import near_duplicates
 from redsieve.llm.outliers import outlier_verdicts
+from redsieve.llm.packing import pack
 from redsieve.llm.qda import quality_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +28,22 @@ def op4_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_robust_outliers": op1_robust_outliers,
     "op4_bottom_k_near_duplicates": op4_bottom_k_near_duplicates,
+    "op7_vector_best_fit": op7_vector_best_fit,
+    "op8_hash_threshold_mix": op8_hash_threshold_mix,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_hash_threshold_mix": mixing.ORACLE,
+}
