@@ -52,8 +52,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/redsieve/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: a cut of the lineage that outlives any executor."""
+def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: a cut of the lineage that outlives any executor.
+    files: for tables of a row per group, so that the planner sees how small they are."""
+    df = df if files is None else df.repartition(files)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

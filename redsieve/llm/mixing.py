@@ -61,7 +61,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
 
 def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """_s, last: the documents whose hash is at most ``last`` use up the source's budget. rows: _s, size, h; budgets: _s, budget."""
-    at = saved(budgets.withColumns({"base": F.lit(0).cast("long"), "prefix": F.lit(0).cast("long")}), "budgets")
+    at = saved(budgets.withColumns({"base": F.lit(0).cast("long"), "prefix": F.lit(0).cast("long")}), "budgets", files=1)
     shift = HASH_BITS
     for bits in LEVELS:
         above, shift = shift, shift - bits
@@ -72,7 +72,7 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         # the bucket in which the budget ends; where it never ends, the source is taken whole
         end = sums.where("upto > budget").groupBy("_s").agg(F.min(F.struct("bucket", "upto", "t")).alias("e"))
         at = at.select("_s", "budget").join(end, "_s").select("_s", "budget", (F.col("e.upto") - F.col("e.t")).alias("base"), F.col("e.bucket").alias("prefix"), F.col("e.t").alias("t"))
-        at = saved(at, "boundary")
+        at = saved(at, "boundary", files=1)
     nearer = F.col("base") + F.col("t") - F.col("budget") < F.col("budget") - F.col("base")
     return at.select("_s", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
 
@@ -81,11 +81,11 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (size times copies): a row per document."""
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size"), _hash(seed).alias("h"))
     rows = saved(rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))), "sizes")
-    goal = saved(targets(rows), "targets")
+    goal = saved(targets(rows), "targets", files=1)
     whole = F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     last = _threshold(rows, goal.where("source_size > 0").select("_s", "budget"))
-    goal = saved(goal.join(last, "_s", "left").withColumn("last", F.coalesce("last", F.lit(-1))).select("_s", "source_size", "target", "whole", "last"), "goals")
+    goal = saved(goal.join(last, "_s", "left").withColumn("last", F.coalesce("last", F.lit(-1))).select("_s", "source_size", "target", "whole", "last"), "goals", files=1)
     copies = F.col("whole") + (F.col("h") <= F.col("last")).cast("long")
     out = rows.join(goal, "_s").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

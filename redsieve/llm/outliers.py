@@ -38,7 +38,7 @@ def _vectors(counts: DataFrame) -> DataFrame:
     """The transformed statistics; rates are shrunk towards those of the language."""
     ok = ~F.col("base_failed")
     total = lambda c: F.sum(F.when(ok, F.col(c)))
-    rates = saved(counts.groupBy("_lang").agg(total("n_words").alias("_w"), total("word_chars").alias("_c"), total("n_punct").alias("_p"), total("n_upper").alias("_u")), "rates")
+    rates = saved(counts.groupBy("_lang").agg(total("n_words").alias("_w"), total("word_chars").alias("_c"), total("n_punct").alias("_p"), total("n_upper").alias("_u")), "rates", files=1)
     n, prior = F.col("n_words"), PRIOR_WORDS
     shrunk = lambda c, t: (F.col(c) + prior * F.try_divide(F.col(t), F.col("_w"))) / (n + prior)
     return counts.join(rates, "_lang").select(
@@ -60,7 +60,7 @@ def _pooled(v: DataFrame, min_rows: int) -> DataFrame:
     sizes = sizes.join(rest, "_lang", "left").withColumn("_g2", F.coalesce("_g1", F.when(F.col("_ln") >= min_rows, F.col("_lang"))))
     last = sizes.where("_g2 is null").groupBy().agg(F.sum("_n").alias("_all"))
     sizes = sizes.join(last, F.lit(True), "left").select("_lang", "_source", F.coalesce("_g2", F.when(F.col("_all") >= min_rows, F.lit("*"))).alias("_g"))
-    return v.join(saved(sizes, "groups"), ["_lang", "_source"])
+    return v.join(saved(sizes, "groups", files=1), ["_lang", "_source"])
 
 
 def _cholesky(s: dict[tuple[int, int], Column], d: int) -> dict[tuple[int, int], Column]:
@@ -94,13 +94,13 @@ def _start(v: DataFrame, names: list[str]) -> DataFrame:
     for i, name in enumerate(names):
         cols.append(F.col(f"q{i}")[1].alias(f"m{i}"))
         cols += [(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[name])) if i == k else F.lit(0.0)).alias(f"l{i}{k}") for k in range(i + 1)]
-    return saved(q.select(*cols), "mcd-start")
+    return saved(q.select(*cols), "mcd-start", files=1)
 
 
 def _step(v: DataFrame, fit: DataFrame, names: list[str], share: float) -> DataFrame:
     """One concentration step: the moments of the ``share`` of each group that lies closest to ``fit``."""
     near = _distance(v.where("not base_failed and _g is not null"), fit, names)
-    cut = saved(near.groupBy("_g").agg(F.percentile_approx("_d2", share, 2000).alias("_cut")), "mcd-cut")
+    cut = saved(near.groupBy("_g").agg(F.percentile_approx("_d2", share, 2000).alias("_cut")), "mcd-cut", files=1)
     near = near.join(cut, "_g").where("_d2 <= _cut").join(fit.select("_g", *[F.col(f"m{i}").alias(f"_o{i}") for i in range(len(names))]), "_g")
     x = [F.col(name) - F.col(f"_o{i}") for i, name in enumerate(names)]  # about the last centre, so that nothing cancels
     d = len(names)
@@ -110,14 +110,14 @@ def _step(v: DataFrame, fit: DataFrame, names: list[str], share: float) -> DataF
     out = got.withColumns({f"m{i}": F.col(f"a{i}") + F.col(f"o{i}") for i in range(d)})
     for (i, k), e in _cholesky(s, d).items():
         out = out.withColumn(f"l{i}{k}", e)
-    return saved(out.select("_g", *[f"m{i}" for i in range(d)], *[f"l{i}{k}" for i in range(d) for k in range(i + 1)]), "mcd-fit")
+    return saved(out.select("_g", *[f"m{i}" for i in range(d)], *[f"l{i}{k}" for i in range(d) for k in range(i + 1)]), "mcd-fit", files=1)
 
 
 def _calibrated(v: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
     """``fit`` with the factor that brings the median distance of a group to that of chi-squared."""
     near = _distance(v.where("not base_failed and _g is not null"), fit, names)
     scale = near.groupBy("_g").agg(F.greatest(F.percentile_approx("_d2", 0.5, 2000) / CHI2_MEDIAN, F.lit(0.5)).alias("_scale"))
-    return saved(fit.join(scale, "_g"), "mcd-final")
+    return saved(fit.join(scale, "_g"), "mcd-final", files=1)
 
 
 def outlier_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 60, cut: float = 45.0) -> DataFrame:

@@ -34,8 +34,8 @@ _HEAD = struct.Struct("<8s9Q")
 
 #: Ids of a shard, rounds, nonterminals a round, and the least count of a pair that gets one.
 SHARD_IDS = 1 << 21
-ROUNDS = 6
-PAIRS = 2500
+ROUNDS = 4
+PAIRS = 4000
 LEAST = 8
 #: Ids of the vocabulary: nonterminals come after them.
 VOCABULARY = 49408
