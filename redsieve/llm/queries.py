@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from redsieve.llm.common import table
-from redsieve.llm import mixing, topk
+from redsieve.llm import mixing, topk, warc
 from redsieve.llm.neardup import near_duplicates
 from redsieve.llm.outliers import outlier_verdicts
 from redsieve.llm.packing import pack
@@ -22,6 +22,10 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,10 +62,12 @@ QUERIES: dict[str, Query] = {
     "op10_threshold_top_k": op10_threshold_top_k,
     "op7_vector_best_fit": op7_vector_best_fit,
     "op8_hash_threshold_mix": op8_hash_threshold_mix,
+    "op2_warc_segments": op2_warc_segments,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc_segments": warc.ORACLE,
     "op8_hash_threshold_mix": mixing.ORACLE,
     "op10_threshold_top_k": topk.ORACLE,
 }
