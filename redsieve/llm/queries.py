@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from redsieve.llm.common import table
 from redsieve.llm import mixing, topk, warc
+from redsieve.llm.extraction import extract
 from redsieve.llm.neardup import near_duplicates
 from redsieve.llm.outliers import outlier_verdicts
 from redsieve.llm.packing import pack
@@ -38,6 +39,10 @@ def op5_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_tree_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -56,14 +61,15 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op2_warc_segments": op2_warc_segments,
+    "op3_quadratic_discriminant": op3_quadratic_discriminant,
     "op4_bottom_k_near_duplicates": op4_bottom_k_near_duplicates,
     "op5_repair_token_shards": op5_repair_token_shards,
-    "op9_host_words": op9_host_words,
-    "op10_threshold_top_k": op10_threshold_top_k,
+    "op6_tree_marginals": op6_tree_marginals,
     "op7_vector_best_fit": op7_vector_best_fit,
     "op8_hash_threshold_mix": op8_hash_threshold_mix,
-    "op2_warc_segments": op2_warc_segments,
-    "op3_quadratic_discriminant": op3_quadratic_discriminant,
+    "op9_host_words": op9_host_words,
+    "op10_threshold_top_k": op10_threshold_top_k,
 }
 
 ORACLES: dict[str, str] = {
