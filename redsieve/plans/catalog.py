@@ -1,12 +1,126 @@
-"""The registered queries and the SQL that checks them."""
+"""The registered queries: one for each operator, over whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from redsieve.cli import initial_state
+from redsieve.operators import identity, metrics, regions, render, review, words
+from redsieve.plans.loop import rule_reviewer, run_loop, term_redactor
+from redsieve.plans.oracles import ORACLES
+from redsieve.plans.relations import Relations, table
+from redsieve.sources import detectors
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    r = Relations(spark, sf_dir)
+    return words.redacted_text(r.words, r.word_marks)
+
+
+def _of(f: Callable[[Relations], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(Relations(spark, sf_dir))
+
+
+def _listing(rows: DataFrame, column: str, *fields: str) -> DataFrame:
+    """A nested listing as one text a page."""
+    item = lambda w: F.concat_ws(":", *[w[f].cast("string") for f in fields])
+    return rows.select("doc_id", "page", F.array_join(F.transform(column, item), " ").alias("listing"))
+
+
+def _span_apply(r: Relations) -> DataFrame:
+    none = r.word_marks.limit(0)
+    return words.apply_spans(r.words, none, words.word_spans(r.word_payloads))[1]
+
+
+def _region_span_apply(r: Relations) -> DataFrame:
+    new, result = words.apply_spans(r.regions, r.region_marks.limit(0), regions.region_spans(r.region_payloads))
+    pages = regions.split_pages(r.regions, new).groupBy("doc_id").agg(F.count("*").alias("split_pages"))
+    return result.join(pages, "doc_id", "left").withColumn("split_pages", F.coalesce("split_pages", F.lit(0)))
+
+
+def _supplemental(r: Relations) -> DataFrame:
+    return render.supplemental_pages(r.words, r.word_marks, r.regions, r.region_marks, r.split)
+
+
+def _counter_difference(r: Relations) -> DataFrame:
+    return metrics.counter_difference(metrics.tool_counters(r.tool_events), metrics.tool_counters(r.tool_events.where("iteration < 3")))
+
+
+def _findings(r: Relations) -> DataFrame:
+    terms = identity.preparer_terms(r.parties)
+    return regions.reviewed_findings(r.findings, r.regions, r.region_marks, r.words, terms).select("doc_id", "fid", "outcome")
+
+
+def _runs(r: Relations) -> DataFrame:
+    at = lambda s: F.lit(s).cast("timestamp")
+    return r.history.select("run_id").distinct().withColumns({"run_label": F.lit("nightly run"), "input_pdf": F.lit("/data/in.pdf"), "started_at": at("2024-01-02 03:04:05"), "finished_at": at("2024-01-02 03:04:17.346"), "total_words_redacted": F.lit(0).cast("long"), "total_regions_redacted": F.lit(0).cast("long")})
+
+
+def _run_summary(r: Relations) -> DataFrame:
+    return metrics.run_summary(_runs(r), r.history, r.tool_events).drop("run_label", "total_words_redacted", "total_regions_redacted")
+
+
+def _draw_list(r: Relations) -> DataFrame:
+    return render.draw_list(r.words, r.word_marks, r.regions, r.region_marks, r.split, r.sizes)
+
+
+def _loop(r: Relations) -> DataFrame:
+    return run_loop(initial_state(r.spark, r.documents), term_redactor(r.terms), rule_reviewer())[1].select("run_id", "iteration", "verdict", "missed_count", "word_delta", "region_delta", "stall_streak", "decision")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a reviewer's answer, in whose middle a verdict stands."""
+    t = table(spark, sf_dir, "conversations").withColumn("n", F.length(F.coalesce("text", F.lit(""))))
+    answer = F.format_string('%s {"verdict": "%s", "missed": [{"page": %d, "type": "logo", "bbox": [1, 2, 3, 4.5]}], "feedback": "again"} end', F.coalesce("text", F.lit("")), F.when(F.col("n") % 2 == 0, "APPROVED").otherwise("REVISE"), F.col("n") % 9)
+    v = review.parsed_verdicts(t.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), answer.alias("answer")))
+    return review.missed_entries(v).join(v.select("doc_id", "verdict", "feedback"), "doc_id").select("doc_id", "verdict", "feedback", "page", "type", F.size("bbox").alias("corners"))
+
+
+QUERIES: dict[str, Query] = {
+    "words_scan": _of(lambda r: r.words),
+    "page_sizes": _of(lambda r: r.sizes),
+    "text_layer_gate": _of(lambda r: detectors.usable_text_layer(r.words)),
+    "degenerate_layout": _of(lambda r: render.degenerate_pages(r.words)),
+    "term_sweep_counts": _of(lambda r: words.sweep_counts(r.hits)),
+    "term_sweep_marks": _of(lambda r: r.word_marks),
+    "words_listing": _of(lambda r: _listing(words.list_words(r.words, r.word_marks), "words", "idx", "text", "redacted")),
+    "visible_words": _of(lambda r: words.visible(r.words, r.word_marks).select("doc_id", "page", "idx", "text")),
+    "redacted_text_view": flagship,
+    "span_apply": _of(_span_apply),
+    "region_strategy": _of(lambda r: r.regions),
+    "region_listing": _of(lambda r: _listing(regions.list_regions(r.regions, r.region_marks), "regions", "idx", "kind", "strategy", "redacted")),
+    "region_span_apply": _of(_region_span_apply),
+    "bbox_inflate": _of(lambda r: regions.apply_boxes(r.regions, r.sizes, regions.box_spans(r.box_payloads))[0].select("doc_id", "page", "idx", "x0", "top", "x1", "bottom", "label")),
+    "detection_fusion": _of(lambda r: regions.fused(r.detections)),
+    "detection_sources": _of(lambda r: regions.source_counts(r.detections)),
+    "template_propagation": _of(lambda r: regions.propagated(regions.detected_regions(r.detections, r.words, r.sizes), r.words, r.sizes)),
+    "occluded_words": _of(lambda r: render.occluded(r.words, r.word_marks, r.regions, r.region_marks).select(*words.KEY)),
+    "supplemental_pages": _of(_supplemental),
+    "page_map": _of(lambda r: regions.page_map(r.sizes, _supplemental(r))),
+    "overlay_rects": _of(lambda r: render.overlay(r.words, r.word_marks, r.regions, r.region_marks)),
+    "draw_list": _of(_draw_list),
+    "finding_filter": _of(_findings),
+    "identity_terms": _of(lambda r: identity.identity_terms(r.parties)),
+    "evidence_text": _of(lambda r: words.evidence_text(r.words, r.sizes)),
+    "text_chunks": _of(lambda r: review.text_chunks(r.documents)),
+    "pii_rule_entities": _of(lambda r: review.rule_entities(review.text_chunks(r.documents))),
+    "verdict_entries": _verdicts,
+    "miss_buckets": _of(lambda r: review.miss_buckets(r.misses, "run_id")),
+    "tool_counters": _of(lambda r: metrics.tool_counters(r.tool_events)),
+    "counter_difference": _of(_counter_difference),
+    "history_deltas": _of(lambda r: metrics.deltas(r.totals)),
+    "stall_streak": _of(lambda r: metrics.streaks(r.history).select("run_id", "iteration", "stall_streak", "zero_streak")),
+    "loop_decisions": _of(lambda r: metrics.decisions(r.history).select("run_id", "iteration", "decision")),
+    "loop_exit": _of(lambda r: metrics.exits(r.history)),
+    "attribution": _of(lambda r: metrics.attribution(r.history)),
+    "words_and_regions_by_tool": _of(lambda r: metrics.by_tool(r.tool_events)),
+    "run_summary": _of(_run_summary),
+    "redaction_loop": _of(_loop),
+}
