@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from redsieve.config import DEFAULT, MISS_TYPES, REGION_TOOLS, WORD_TOOLS
 
 BUCKETS = tuple(t.lower() for t in MISS_TYPES)
-_RUN = Window.partitionBy("run_id").orderBy("iteration")
+
+
+def _run() -> WindowSpec:
+    return Window.partitionBy("run_id").orderBy("iteration")
 
 
 def tool_counters(events: DataFrame, *keys: str) -> DataFrame:
@@ -29,21 +33,21 @@ def counter_difference(after: DataFrame, before: DataFrame) -> DataFrame:
 
 def deltas(totals: DataFrame) -> DataFrame:
     """``totals`` (run_id, iteration, words_total, regions_total) with word_delta and region_delta."""
-    step = lambda c: F.col(c) - F.lag(c, 1, 0).over(_RUN)
+    step = lambda c: F.col(c) - F.lag(c, 1, 0).over(_run())
     return totals.withColumn("word_delta", step("words_total")).withColumn("region_delta", step("regions_total"))
 
 
 def _streak(df: DataFrame, holds: Column, name: str) -> DataFrame:
     """``name``: how many rows in a row ``holds``, up to and with this one."""
     df = df.withColumn("_h", F.coalesce(holds, F.lit(False)))
-    df = df.withColumn("_g", F.sum((~F.col("_h")).cast("int")).over(_RUN))
+    df = df.withColumn("_g", F.sum((~F.col("_h")).cast("int")).over(_run()))
     return df.withColumn(name, F.sum(F.col("_h").cast("int")).over(Window.partitionBy("run_id", "_g").orderBy("iteration")).cast("int")).drop("_h", "_g")
 
 
 def streaks(history: DataFrame) -> DataFrame:
     """``history`` with stall_streak (nothing was added and no fewer misses than before) and zero_streak (nothing was added)."""
     added = F.col("word_delta") + F.col("region_delta")
-    before = F.lag("missed_count").over(_RUN)
+    before = F.lag("missed_count").over(_run())
     df = history.withColumn("_stalled", (F.col("missed_count") >= before) & (added == 0))
     return _streak(_streak(df, F.col("_stalled"), "stall_streak").drop("_stalled"), added == 0, "zero_streak")
 
