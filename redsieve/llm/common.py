@@ -37,6 +37,14 @@ def occurrences(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(removed(text, characters))).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it; one of its own only where it's unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redsieve.llm.common import SPACES, saved, text_of
+from redsieve.llm.common import SPACES, fresh, saved, text_of
 
 #: Fixed values of the mix.
 WEIGHTS = (3, 1, 2)
@@ -93,9 +93,10 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The documents of the mix in their own columns, each as often as it is taken; doc_id is taken to be unique."""
-    copies = mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    own, times, number = (fresh(docs, n) for n in ("_id", "_times", "_number"))
+    copies = mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias(own), F.col("copies").alias(times))
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(own)))
+    return out.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 #: The same rows by a running sum over sorted hashes.

@@ -99,9 +99,15 @@ def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return j.where((F.col("comp") != h("comp")) & fits).select(F.least("rep", h("rep")).alias("a"), F.greatest("rep", h("rep")).alias("b")).distinct()
 
 
+def _of_pairs(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is in a pair: by broadcast of the ids where they are few."""
+    ids = saved(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, key, "left_semi")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose union sketch doesn't rule the link out."""
-    s = classes.select("rep", "n", "sketch")
+    s = _of_pairs(pairs, classes.select("rep", "n", "sketch"), "rep")
     of = lambda side: s.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     j = pairs.join(of("b"), "b").join(of("a"), "a")
     union = F.sort_array(F.array_union("sa", "sb"))
@@ -113,10 +119,8 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar; only the texts of documents in pairs are read again into sets."""
-    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    few = ids.count() <= MOST_BROADCAST
     # rows that repeat a doc_id are one document
-    sets = _sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])
+    sets = _sets(_of_pairs(pairs, docs.select("doc_id", "text"), "doc_id"), size).dropDuplicates(["doc_id"])
     sets = saved(sets.select("doc_id", F.size("set").alias("n"), "set"), "sets")
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("set").alias(f"s{side}"))
     j = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
@@ -130,15 +134,20 @@ def _least(members: DataFrame, by: list[str], order: Column) -> DataFrame:
 def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: links whose components are those of all links."""
     found: list[DataFrame] = []
+    tested: list[DataFrame] = []
 
     def look(members: DataFrame, hubs: DataFrame) -> bool:
         pairs = saved(_pairs(members, hubs, percent), "pairs")
         if pairs.isEmpty():
             return False
-        likely = saved(_likely(pairs, classes), "likely")
+        likely = _likely(pairs, classes)
+        likely = saved(likely.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti") if tested else likely, "likely")
         if likely.isEmpty():
             return False
+        tested.append(likely)
         new = saved(_linked(likely, docs, size, percent), "links")
+        if new.isEmpty():
+            return False
         found.append(new)
         return True
 
@@ -172,7 +181,7 @@ def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
             hubs = _least(m2.where("large"), ["v"], F.xxhash64("v", "rep"))
             new = look(rest, saved(hubs, "hubs"))
         else:
-            share = F.pmod(F.xxhash64("rep"), F.lit(4 ** min(step, 15)))
+            share = F.pmod(F.xxhash64("rep"), F.lit(32 ** min(step, 6)))
             hubs = saved(_least(rest.withColumn("_s", share), ["v", "_s"], F.col("rep")).select("v", "hub"), "hubs")
             new = look(m2, hubs)
             done = saved(done.union(hubs.select("v", F.col("hub.rep"))), "done")
