@@ -6,7 +6,8 @@ the products at the depth reached can't beat its k-th score. The results of the
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; vectors of
 another dimension aren't compared. Rows with the query's own id aren't its candidates. Equal scores rank by id; a query with
-fewer candidates than k gets all. An empty vector has score 0 with other empty vectors. An empty table gives an empty result."""
+fewer candidates than k gets all. An empty vector has score 0 with other empty vectors. Components and scores beyond a long are the nearest
+long. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -109,6 +110,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             for d, (query_ids, x) in _matrices(right).items():
                 if d in candidates:
                     found += threshold_search(*candidates[d], query_ids, x, k)
+        found = [(a, b, min(max(x, -(1 << 63)), (1 << 63) - 1)) for a, b, x in found]
         columns = list(zip(*found, strict=True)) if found else [[]] * 3
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
 
