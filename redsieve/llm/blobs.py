@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_blobs(rows: DataFrame, column: str, path: str) -> None:
+def write_blobs(rows: DataFrame, column: str, path: str, compression: str = "none") -> None:
     """Each row's bytes as a file of its own under ``path``, followed by a line feed."""
-    rows.select(F.col(column).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows.select(F.col(column).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", compression).text(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """content: the bytes of each file, with the line feed."""
+    """content: the bytes of each file as they are, compressed or not, with the line feed."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")

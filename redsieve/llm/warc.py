@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsieve.llm.blobs import read_blobs, write_blobs
-from redsieve.llm.common import saved, shared_path
+from redsieve.llm.common import bounded, saved, shared_path
 
 #: Fixed value: the least payload that is written as a revisit.
 REVISIT_BYTES = 1000
@@ -84,8 +85,21 @@ def records(number: int, page_id: int | None, url: str | None, payload: bytes, o
     return out
 
 
+def _plain(data: bytes) -> bytes:
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise ValueError("a compressed file is cut off")
+        data = member.unused_data
+    return b"".join([*out, data])
+
+
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (names in lower case) and block of each record; line feeds between and after records are skipped."""
+    """Fields (names in lower case) and block of each record, of a file that may be compressed, whole or record by record; line
+    feeds between and after records are skipped."""
+    data = _plain(data)
     at, n = 0, len(data)
     while True:
         while at < n and data[at] in b"\r\n":
@@ -114,7 +128,7 @@ def with_originals(pages: DataFrame) -> DataFrame:
     groups = digests.groupBy("sha1", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     # a response for each group of equal payloads, which are few rows next to all pages
     others = digests.join(groups, ["sha1", "bytes"]).where("page_id < first").select("page_id", "sha1", F.col("first").alias("original")).distinct()
-    return rows.join(others, ["page_id", "sha1"], "left").select("page_id", "url", "html", "bytes", "sha1", "original")
+    return rows.join(bounded(saved(others, "revisits")), ["page_id", "sha1"], "left").select("page_id", "url", "html", "bytes", "sha1", "original")
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, file: int = FILE) -> None:
@@ -137,7 +151,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, file: in
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["file"])
 
-    write_blobs(pages.select("page_id", "url", "html", "sha1", "original").mapInArrow(write, "file binary"), "file", path)
+    write_blobs(pages.select("page_id", "url", "html", "sha1", "original").mapInArrow(write, "file binary"), "file", path, compression="gzip")
 
 
 def _page(name: str) -> int | None:

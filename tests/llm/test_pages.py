@@ -281,3 +281,16 @@ def test_odd_vectors(spark):
     assert got[250] == [(300, 0)] and [i for i, _ in got[200]] == [0, 0, 2, 4, 350]
     assert all(s == 0 for _, s in got[200]) and got[0][0][0] == 350
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_compressed_archives():
+    import gzip
+
+    made = warc.records("0.1", 5, "u", b"abc", None, hashlib.sha1(b"abc").hexdigest())
+    made += warc.records("0.2", 6, "v", b"", None, hashlib.sha1(b"").hexdigest())
+    want = list(warc.parsed(b"".join(made)))
+    assert len(want) == 2
+    assert list(warc.parsed(gzip.compress(b"".join(made)))) == want
+    assert list(warc.parsed(b"".join(map(gzip.compress, made)) + b"\n")) == want
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parsed(gzip.compress(b"".join(made))[:-9]))
