@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -17,6 +18,8 @@ VOCABULARIES: str | None = None
 _W = "\t-\r \x85\xa0  -     　"
 _PARTS = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case and bytes are the same for every library.
+_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
 #: Parts that a worker keeps, and the longest of them.
 MOST_PARTS = 500_000
@@ -25,6 +28,13 @@ LONGEST_PART = 48
 _made: dict[str, Encoder] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it can be seen, else the next from 256 on."""
+    seen = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Encoder:
     """encode() returns the ids of each text as little-endian unsigned 32-bit integers."""
 
@@ -36,7 +46,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(f"{folder}/{name}" if folder else public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
         self.drops_spaces = name.startswith("word_")
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
         self.known: dict[str, bytes] = {}
+        self.tails = dict(zip(".,", self._plain([".", ","]), strict=True))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -46,43 +58,46 @@ class Encoder:
             return [text] if _CONTROL.search(text) else text.split()
         return _PARTS.findall(text)
 
+    def _letters(self, core: str) -> bool:
+        """Whether ``core`` is letters, perhaps after a space, that are one piece to the tokenizer."""
+        word = core if self.drops_spaces else core.removeprefix(" ")
+        return word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word) is not None)
+
+    def _word(self, core: str) -> bytes:
+        """Ids of such letters: its model can be asked at once."""
+        piece = core.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of parts that aren't known. A full stop or comma after a letter is a part of its own for both tokenizers."""
-        cores, known = {}, self.known
+        """Ids of parts that aren't known. A full stop or comma after a letter is a piece of its own for both tokenizers."""
+        known, out, others = self.known, {}, []
         for p in new:
-            tail = p[-1] if p[-1] in ".," and p[-2:-1].isalpha() else ""
-            core = p[:-1] if tail else p
-            if self.drops_spaces and core.isascii():
+            core, tail = (p[:-1], p[-1]) if p[-1] in ".," else (p, "")
+            if not self._letters(core):
+                others.append(p)
+                continue
+            if self.drops_spaces:
                 core = core.lower()
-            cores[p] = core, tail
-        missing = list({c for pair in cores.values() for c in pair if c and c not in known})
-        got = dict(zip(missing, self._plain(missing), strict=True)) if missing else {}
-        find = lambda c: got[c] if c in got else known[c]
-        out = {p: find(core) + (find(tail) if tail else b"") for p, (core, tail) in cores.items()}
-        for p, ids in [*out.items(), *got.items()]:
-            if len(known) >= MOST_PARTS:
-                break
-            if len(p) <= LONGEST_PART:
-                known[p] = ids
+            ids = known.get(core) or out.get(core)
+            if ids is None:
+                ids = out[core] = self._word(core)
+            out[p] = ids + self.tails[tail] if tail else ids
+        if others:
+            out |= zip(others, self._plain(others), strict=True)
+        room = MOST_PARTS - len(known)
+        known |= [x for x in out.items() if len(x[0]) <= LONGEST_PART][: max(0, room)]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+        out, known = [], self.known
         for k in range(0, len(texts), 128):
             cut = [self._parts(t) for t in texts[k : k + 128]]
-            known = self.known
-            new = list(set().union(*cut).difference(known))
-            if new:
-                fresh = self._learn(new)
-                if len(known) >= MOST_PARTS:
-                    fresh = {p: ids for p, ids in fresh.items() if p not in known}
-                    out += [b"".join([known[p] if p in known else fresh[p] for p in parts]) for parts in cut]
-                    continue
-                long = {p: ids for p, ids in fresh.items() if p not in known}
-                if long:
-                    out += [b"".join([known[p] if p in known else long[p] for p in parts]) for parts in cut]
-                    continue
-            out += [b"".join(map(known.__getitem__, parts)) for parts in cut]
+            fresh = self._learn(list(set().union(*cut).difference(known)))
+            for parts in cut:
+                try:
+                    out.append(b"".join(map(known.__getitem__, parts)))
+                except KeyError:  # the table is full, or a part is long
+                    out.append(b"".join([known[p] if p in known else fresh[p] for p in parts]))
         return out
 
 

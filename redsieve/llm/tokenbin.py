@@ -39,56 +39,64 @@ PAIRS = 4000
 LEAST = 8
 #: Ids of the vocabulary: nonterminals come after them.
 VOCABULARY = 49408
-_BUCKETS = 20
 
 
 def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The ``most`` keys that occur most often, ``least`` times at least, ascending. Counts by hash bucket leave only keys that
-    can be among them to be counted one by one."""
-    if not len(keys):
-        return keys[:0]
-    h = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)).astype(np.int64)
-    buckets = np.bincount(h, minlength=1 << _BUCKETS)
-    bar = max(least, int(np.partition(buckets, -2 * most)[-2 * most]))
-    found, n = np.unique(keys[buckets[h] >= bar], return_counts=True)
-    found, n = found[n >= least], n[n >= least]
-    if len(found) > most:
-        found = found[np.sort(np.lexsort((found, -n))[:most])]
-    return found
+    """The ``most`` keys that occur most often, ``least`` times at least, ascending; of keys as frequent, the smaller ones."""
+    s = np.sort(keys)
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
+    n = np.diff(starts, append=len(s))
+    found, n = s[starts[n >= least]], n[n >= least]
+    if len(found) <= most:
+        return found
+    bar = np.partition(n, -most)[-most]
+    above = found[n > bar]
+    return np.sort(np.concatenate([above, found[n == bar][: most - len(above)]]))
 
 
 def _every_second(at: np.ndarray) -> np.ndarray:
-    """Of ascending places, those that stay if a place next to one that stays goes."""
-    if not len(at):
-        return at
-    new = np.concatenate([[True], np.diff(at) != 1])
+    """Which of ascending places stay, if a place next to one that stays goes."""
+    new = np.diff(at, prepend=-2) != 1
     start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    return at[(np.arange(len(at)) - start) % 2 == 0]
+    return (np.arange(len(at)) - start) % 2 == 0
+
+
+def _found(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``chosen`` among ``keys``, and which of them stands there. A table of bits leaves few others to look up."""
+    bits = lambda k: (k * k.dtype.type(0x9E3779B1)) >> k.dtype.type(8 * k.itemsize - 16)
+    table = np.zeros(1 << 16, dtype=bool)
+    table[bits(chosen)] = True
+    places = np.flatnonzero(table[bits(keys)])
+    which = np.minimum(np.searchsorted(chosen, keys[places]), len(chosen) - 1)
+    hit = chosen[which] == keys[places]
+    return places[hit], which[hit]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """symbols, offsets of the documents in them, rules. ends: the place after each document's last id."""
-    s = ids.astype(np.uint64)
+    small = first < 1 << 16  # then nonterminals are kept within two bytes, and a pair is one number of four
+    kind, shift = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
+    nothing = np.iinfo(kind).max  # stands for a pair over the end of a document; no pair has it, as the last symbol is left out
+    most = (1 << 16) - 1 - first if small else 1 << 31
+    s = ids.astype(kind)
     last = np.zeros(len(s), dtype=bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
     for _ in range(rounds):
-        open_ = np.flatnonzero(~last[:-1]) if len(s) else np.zeros(0, dtype=np.int64)
-        keys = (s[open_] << np.uint64(32)) | s[open_ + 1]
-        chosen = _frequent(keys, min(pairs, (1 << 16) - first - n_rules) if first < 1 << 16 else pairs, least)
+        keys = np.where(last[:-1], nothing, (s[:-1] << shift) | s[1:])
+        chosen = _frequent(keys[~last[:-1]], min(pairs, most - n_rules), least) if most > n_rules else keys[:0]
         if not len(chosen):
             break
-        at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        hit = chosen[at] == keys
-        places = _every_second(open_[hit])
-        which = at[np.searchsorted(open_, places)]
-        s[places] = which.astype(np.uint64) + np.uint64(first + n_rules)
+        places, which = _found(keys, chosen)
+        keep = _every_second(places)
+        places, which = places[keep], which[keep]
+        s[places] = which.astype(kind) + kind(first + n_rules)
         last[places] = last[places + 1]
         stay = np.ones(len(s), dtype=bool)
         stay[places + 1] = False
         s, last = s[stay], last[stay]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        rules.append(np.stack([chosen >> shift, chosen & kind((1 << int(shift)) - 1)], axis=1).astype(np.uint32))
         n_rules += len(chosen)
     offsets = np.concatenate([[0], np.flatnonzero(last) + 1]).astype(np.uint64)
     return s, offsets, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
