@@ -69,5 +69,20 @@ def saved(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that may be broadcast to pick documents; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """``ids``, a written table, to be broadcast where its rows are counted to be few."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` in their own columns, less those whose doc_id is in ``ids``. Documents without a doc_id stay."""
+    gone = saved(ids.select("doc_id").where("doc_id is not null").distinct(), "gone")
+    return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

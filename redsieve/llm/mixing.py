@@ -77,26 +77,46 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return at.select("_s", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
 
 
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken (size times copies): a row per document."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size"), _hash(seed).alias("h"))
-    rows = saved(rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))), "sizes")
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+
+
+def _sizes(docs: DataFrame, seed: str) -> DataFrame:
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), _key().alias("_s"), n_words(text_of()).alias("size"), _hash(seed).alias("h"))
+    return saved(rows, "sizes")
+
+
+def _goals(rows: DataFrame) -> DataFrame:
+    """_s, source_size, target, whole (copies of every document) and last (largest hash of which there is one more)."""
     goal = saved(targets(rows), "targets", files=1)
     whole = F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     last = _threshold(rows, goal.where("source_size > 0").select("_s", "budget"))
-    goal = saved(goal.join(last, "_s", "left").withColumn("last", F.coalesce("last", F.lit(-1))).select("_s", "source_size", "target", "whole", "last"), "goals", files=1)
-    copies = F.col("whole") + (F.col("h") <= F.col("last")).cast("long")
-    out = rows.join(goal, "_s").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("int"))
+    return saved(goal.join(last, "_s", "left").withColumn("last", F.coalesce("last", F.lit(-1))).select("_s", "source_size", "target", "whole", "last"), "goals", files=1)
+
+
+def _copies(size: Column, h: Column, whole: Column, last: Column) -> Column:
+    return F.when(size > 0, whole + (h <= last).cast("long")).otherwise(F.lit(0)).cast("int")
+
+
+def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken (size times copies): a row per document."""
+    rows = _sizes(docs, seed)
+    goal = _goals(rows)
+    out = rows.join(goal, "_s").withColumn("copies", _copies(*map(F.col, ("size", "h", "whole", "last"))))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The documents of the mix in their own columns, each as often as it is taken; doc_id is taken to be unique."""
-    own, times, number = (fresh(docs, n) for n in ("_id", "_times", "_number"))
-    copies = mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias(own), F.col("copies").alias(times))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col(own)))
-    return out.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    """The documents of the mix in their own columns, each as often as it is taken. A document's hash and its source's threshold
+    tell how often that is, so documents are joined with a row per source and not with one another."""
+    key, size, h, number = (fresh(docs, n) for n in ("_key", "_size", "_h", "_number"))
+    own = _goals(_sizes(docs, seed))
+    goal = own.select(*[F.col(c).alias(fresh(docs, f"_goal_{c}")) for c in ("_s", "whole", "last")])
+    _, whole, last = (F.col(c) for c in goal.columns)
+    out = docs.withColumns({key: _key(), size: n_words(text_of()), h: _hash(seed)}).join(goal, F.col(key) == F.col(goal.columns[0]))
+    copies = _copies(F.col(size), F.col(h), whole, last)
+    return out.withColumn(number, F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*docs.columns)
 
 
 #: The same rows by a running sum over sorted hashes.

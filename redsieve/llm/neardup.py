@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redsieve.llm.common import let, saved, text_of, words
+from redsieve.llm.common import bounded, let, saved, text_of, without, words
 from redsieve.llm.components import components
 
 #: Retained values of a sketch, and how many of them two sketches of linked sets share at least.
@@ -32,9 +32,6 @@ SKETCH = 48
 LEAST_SHARED = 20
 #: Longs of a bitmap, 64 bits each.
 MAP = 4
-#: Ids that may be broadcast to pick documents; more are joined by shuffle.
-MOST_BROADCAST = 1_000_000
-
 
 def shingle_set(text: Column, size: int) -> Column:
     """The ascending distinct hashes of the shingles of ``size`` words; A-Z count as a-z."""
@@ -102,7 +99,7 @@ def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
 def _of_pairs(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The ``rows`` whose ``key`` is in a pair: by broadcast of the ids where they are few."""
     ids = saved(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct(), "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, key, "left_semi")
+    return rows.join(bounded(ids), key, "left_semi")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -207,5 +204,4 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
 def without_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the least doc_id, and every unlinked one, in their own columns."""
-    gone = near_duplicates(docs, shingle_words, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs, shingle_words, percent).where("not kept"))

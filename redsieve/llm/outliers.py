@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redsieve.llm.common import saved
+from redsieve.llm.common import saved, without
 from redsieve.llm.textstats import base_failed, with_statistics
 
 #: Words of the language's own mean that are added to a document's, so that short documents don't stand out by chance.
@@ -134,6 +134,5 @@ def outlier_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, min_r
 
 
 def without_outliers(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that stay, in their own columns; doc_id is taken to be unique."""
-    bad = outlier_verdicts(docs, **parameters).where("not kept").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, in their own columns; doc_id is taken to be unique, and those without one stay."""
+    return without(docs, outlier_verdicts(docs, **parameters).where("not kept"))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redsieve.llm.common import saved
+from redsieve.llm.common import saved, without
 from redsieve.llm.textstats import with_statistics
 
 #: Words, characters or lines that are added to what a rate is a part of, so that short texts get no extreme rates.
@@ -98,6 +98,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.05,
 
 
 def without_low_quality(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that are predicted to be of quality 1, in their own columns; doc_id is taken to be unique."""
-    good = quality_scores(docs, labels, **parameters).where("predicted = 1").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    """The documents that are predicted to be of quality 1, in their own columns; doc_id is taken to be unique, and those
+    without one stay."""
+    return without(docs, quality_scores(docs, labels, **parameters).where("predicted = 0"))
