@@ -72,7 +72,7 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     """v, rep, n, x (values in the sketch), c (least shared) and the bitmap, for the rarest retained values of each class.
     classes: rep, n, sketch."""
     linkable = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62  # smaller sets are linked with equal ones alone
-    entries = saved(classes.where(F.col("n") >= linkable).select("rep", F.explode("sketch").alias("v")), "values")
+    entries = classes.where(F.col("n") >= linkable).select("rep", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     rare = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("common"))  # as many as a sketch holds
     bits = [_bitmap(j).alias(f"m{j}") for j in range(MAP)]
@@ -154,7 +154,7 @@ def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     def labelled() -> DataFrame:
         """The members of the lists that hold more than one component, with their components."""
         of = saved(components(everything()), "components").withColumnRenamed("id", "rep")
-        m = saved(lists.join(of, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "members")
+        m = lists.join(bounded(of), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         mixed = m.groupBy("v").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"), F.count("*").alias("_m")).where("_l <> _h and _m > 2").select("v")
         return saved(m.join(mixed, "v"), "mixed")
 
