@@ -76,24 +76,26 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     rare = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("common"))  # as many as a sketch holds
     bits = [_bitmap(j).alias(f"m{j}") for j in range(MAP)]
-    rows = classes.join(rare, "rep").select("rep", "n", F.size("sketch").alias("x"), _least_shared(F.col("n"), percent).alias("c"), *bits, "common")
+    rows = classes.join(rare, "rep").select("rep", "n", F.size("sketch").alias("x"), _least_shared(F.col("n"), percent).alias("c"), F.lit(None).cast("double").alias("s"), *bits, "common")
     first = F.col("x") - F.col("c") + 1 - (F.col("x") - F.size("common"))  # values that no other class has come first of all
     rows = rows.where(first > 0).withColumn("v", F.explode(F.slice("common", F.lit(1), F.greatest(first, F.lit(1))))).withColumn("v", F.col("v")["v"]).drop("common")
     rows = saved(rows, "lists")
     return saved(rows.join(rows.groupBy("v").agg(F.count("*").alias("_m")).where("_m > 1"), "v").drop("_m"), "lists")
 
 
-_FIELDS = ("rep", "n", "x", "c", *(f"m{j}" for j in range(MAP)))
+_FIELDS = ("rep", "n", "x", "c", "s", *(f"m{j}" for j in range(MAP)))
 
 
 def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """a < b of each hub and member of a list, of different components, unless sizes or bitmaps rule the link out.
+    """a < b of each hub and member of a list, of different components, unless sizes, bitmaps or their similarities to the list's
+    first hub, where both are known, rule the link out: the Jaccard distance is a metric.
     members: v, comp and _FIELDS; hubs: v, hub (a struct of comp and _FIELDS)."""
     j = members.join(hubs, "v")
     h = lambda f: F.col("hub")[f]
     apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(h(f"m{i}"))) for i in range(MAP)), F.lit(0))
     fits = (F.least("n", h("n")) * 100 >= F.greatest("n", h("n")) * percent) & (apart <= F.col("x") + h("x") - 2 * F.least("c", h("c")))
-    return j.where((F.col("comp") != h("comp")) & fits).select(F.least("rep", h("rep")).alias("a"), F.greatest("rep", h("rep")).alias("b")).distinct()
+    near = F.coalesce(F.abs(F.col("s") - h("s")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    return j.where((F.col("comp") != h("comp")) & fits & near).select(F.least("rep", h("rep")).alias("a"), F.greatest("rep", h("rep")).alias("b")).distinct()
 
 
 def _of_pairs(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -114,14 +116,15 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return j.where(both * SKETCH >= LEAST_SHARED * F.least(F.size(sample), F.lit(SKETCH))).select("a", "b")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar; only the texts of documents in pairs are read again into sets."""
+def _compared(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs with ``linked`` and ``similarity`` of their full sets; only the texts of documents in pairs are read again."""
     # rows that repeat a doc_id are one document
     sets = _sets(_of_pairs(pairs, docs.select("doc_id", "text"), "doc_id"), size).dropDuplicates(["doc_id"])
     sets = saved(sets.select("doc_id", F.size("set").alias("n"), "set"), "sets")
     of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("set").alias(f"s{side}"))
     j = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return j.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
+    union = F.col("na") + F.col("nb") - F.col("i")
+    return j.select("a", "b", (F.col("i") * 100 >= union * percent).alias("linked"), (F.col("i") / union).alias("similarity"))
 
 
 def _least(members: DataFrame, by: list[str], order: Column) -> DataFrame:
@@ -132,6 +135,7 @@ def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     """a, b: links whose components are those of all links."""
     found: list[DataFrame] = []
     tested: list[DataFrame] = []
+    compared: list[DataFrame] = []
 
     def look(members: DataFrame, hubs: DataFrame) -> bool:
         pairs = saved(_pairs(members, hubs, percent), "pairs")
@@ -142,7 +146,8 @@ def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
         if likely.isEmpty():
             return False
         tested.append(likely)
-        new = saved(_linked(likely, docs, size, percent), "links")
+        compared.append(saved(_compared(likely, docs, size, percent), "compared"))
+        new = compared[-1].where("linked").select("a", "b")
         if new.isEmpty():
             return False
         found.append(new)
@@ -162,6 +167,11 @@ def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
     first = saved(_least(own, ["v"], F.col("rep")), "hubs")
     done = first.select("v", F.col("hub.rep").alias("rep"))
     look(own, first)
+    if compared:  # from here on, members know how similar they are to the list's first hub
+        to_first = saved(compared[0].select(F.col("a").alias("_first"), F.col("b").alias("rep"), "similarity"), "similarities")
+        known = lists.drop("s").join(first.select("v", F.col("hub.rep").alias("_first")), "v").join(bounded(to_first), ["rep", "_first"], "left")
+        lists = saved(known.withColumn("s", F.when(F.col("rep") == F.col("_first"), F.lit(1.0)).otherwise(F.col("similarity"))).drop("_first", "similarity"), "lists")
+        own = lists.withColumn("comp", F.col("rep"))
     if not found:  # then each member but the hubs is still apart
         m = saved(own.join(own.groupBy("v").agg(F.count("*").alias("_m")).where("_m > 2").select("v"), "v"), "mixed")
     else:
