@@ -104,10 +104,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, rounds:
 
 def _lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Ids that each rule stands for; a rule's parts come before it."""
-    out = np.ones(len(rules), dtype=np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1)
-    return out
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - first] if a >= first else 1) + (out[b - first] if b >= first else 1))
+    return np.array(out, dtype=np.uint32)
 
 
 def to_bytes(partition: int, number: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY) -> bytes:
@@ -135,19 +135,11 @@ class Shard:
 
     def __post_init__(self) -> None:
         self._at = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
-        flat = np.empty(int(self._at[-1]), dtype="<u4")
-        at, first = self._at.tolist(), self.first
-        for k, pair in enumerate(self.rules.tolist()):
-            to = at[k]
-            for x in pair:
-                if x < first:
-                    flat[to] = x
-                    to += 1
-                else:
-                    n = at[x - first + 1] - at[x - first]
-                    flat[to : to + n] = flat[at[x - first] : at[x - first + 1]]
-                    to += n
-        self._flat = flat
+        whole: list[bytes] = []  # the ids of each rule
+        part = lambda x: whole[x - self.first] if x >= self.first else x.to_bytes(4, "little")
+        for a, b in self.rules.tolist():
+            whole.append(part(a) + part(b))
+        self._flat = np.frombuffer(b"".join(whole), dtype="<u4")
 
     def counts(self, symbols: np.ndarray) -> np.ndarray:
         """Ids that each symbol stands for."""
