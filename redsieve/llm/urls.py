@@ -2,7 +2,8 @@
 
 Host names are split into words by the most probable segmentation under a unigram model (Viterbi); the model's words are those of
 the pages' titles. Host words and path tokens are the features of a naive Bayes model that learns from the URLs a rule decides.
-Both models are counts over all pages; what is kept of them are their most frequent entries, a documented size.
+Both models are counts over all pages, kept whole as written tables: a label looks up the words that occur in it, and tokens are
+joined with their log odds; either table is broadcast only where its rows are counted to be few.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, and no rule; it is judged by the prior. Without
 any URL that a rule decides, the method allows. Rows are judged one by one, so repeated rows and frequent hosts do no harm. An
@@ -14,21 +15,18 @@ import math
 import re
 import string
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redsieve.llm.common import saved
+from redsieve.llm.common import bounded, saved
 
 #: Verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Entries of the unigram and the naive Bayes model, and the longest word of a host.
-MOST_WORDS = 50_000
-MOST_TOKENS = 50_000
-LONGEST_WORD = 24
+#: Substrings in a batch.
+BATCH = 20_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,27 +44,30 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return rule, verdict
 
 
-def unigrams(pages: DataFrame) -> dict[str, int]:
-    """Counts of the words of all titles, the most frequent MOST_WORDS of them."""
+def unigrams(pages: DataFrame) -> DataFrame:
+    """word, n: the words of all titles."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<title[^>]*>(.*?)</title", 1))
-    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"(\p{L}+)"))).alias("word")).where(F.length("word") <= LONGEST_WORD)
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()}
+    words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"(\p{L}+)"))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def segmenter(counts: dict[str, int]):
-    """segment(name): the words of the most probable split; letters that no word covers stay together."""
-    total = sum(counts.values()) + 1
+def segmenter(counts: dict[str, int], total: int | None = None):
+    """segment(name): the words of the most probable split; letters that no word covers stay together. counts: at least those
+    of the words that occur in the names. total: of all words' counts, where counts are a part of them."""
+    total = (sum(counts.values()) if total is None else total) + 1
     cost = {w: -math.log(n / total) for w, n in counts.items() if len(w) > 1}
+    lengths = sorted({1, *map(len, cost)}, reverse=True)
 
-    @lru_cache(100_000)
     def segment(name: str) -> tuple[str, ...]:
         n = len(name)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
         for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST_WORD), j):
+            for k in lengths:
+                i = j - k
+                if i < 0:
+                    continue
                 c = cost.get(name[i:j])
-                if c is None and j - i == 1:
+                if c is None and k == 1:
                     c = math.log(total) + 4.0  # a letter that is no word's
                 if c is not None and best[i] + c < best[j]:
                     best[j], back[j] = best[i] + c, i
@@ -75,69 +76,116 @@ def segmenter(counts: dict[str, int]):
             cuts.append(name[back[n] : n])
             n = back[n]
         out: list[str] = []
+        free = False
         for w in reversed(cuts):
-            if out and w not in cost and out[-1] not in cost:
-                out[-1] += w
-            else:
+            if w in cost:
                 out.append(w)
-        return tuple(out)
+            elif free:
+                run.append(w)
+            else:
+                run = [w]
+                out.append(run)
+            free = w not in cost
+        return tuple(w if isinstance(w, str) else "".join(w) for w in out)
 
     return segment
 
 
-def tokens(host: str, path: str, segment) -> list[str]:
-    """Host words, the last label and path tokens; runs of digits count by their length."""
+def parts(host: str, path: str) -> list[str]:
+    """The last label, runs of letters in the others (l:, to be split into words) and path tokens; runs of digits count by their length."""
     labels = host.split(".")
     out = [f"t:{labels[-1]}"]
-    for label in re.findall(r"[^\W\d_]+|\d+", ".".join(labels[:-1])):
-        out += [f"h:#{len(label)}"] if label.isdigit() else [f"h:{w}" for w in segment(label[:256])] + ([f"h:{label[256:]}"] if label[256:] else [])
+    out += [f"h:#{len(x)}" if x.isdigit() else f"l:{x}" for x in re.findall(r"[^\W\d_]+|\d+", ".".join(labels[:-1]))]
     out += [f"p:#{len(x)}" if x.isdigit() else f"p:{x.lower()}" for x in re.findall(r"[^\W\d_]+|\d+", path)]
     return out
 
 
-def _tokenized(pages: DataFrame, rules: tuple) -> DataFrame:
-    words = pages.sparkSession.sparkContext.broadcast(unigrams(pages))  # MOST_WORDS at most
+def _rows(pages: DataFrame, rules: tuple) -> DataFrame:
+    """A row per page, with a key of its own and its parts."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = segmenter(words.value)
         for batch in batches:
-            found = [tokens(h, p, segment) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "tokens"])
+            found = [parts(h, p) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "parts"])
 
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "verdict": verdict})
+    rows = rows.withColumns({"rule": rule, "verdict": verdict, "row": F.monotonically_increasing_id()})
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(split, f"{schema}, tokens array<string>")
+    return rows.mapInArrow(split, f"{schema}, parts array<string>")
 
 
-def naive_bayes(rows: DataFrame) -> tuple[float, dict[str, float]]:
-    """Prior log odds of allow, and the log odds of each of the MOST_TOKENS most frequent tokens. rows: verdict and tokens."""
-    seen = {r["verdict"]: r["n"] for r in rows.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
-    each = rows.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(*[F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("allow", "block")])
+def label_words(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """label, words: the split of each of the distinct ``labels`` under ``counts`` (word, n), a written table. Only the substrings
+    that are as long as some word are looked up."""
+    lengths = sorted(r[0] for r in counts.select(F.length("word")).distinct().collect() if r[0] > 1)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, word = [], []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(word, pa.string())], ["label", "word"])
+        for batch in batches:
+            for name in batch["label"].to_pylist():
+                for k in lengths:
+                    for w in {name[i : i + k] for i in range(len(name) - k + 1)}:
+                        of.append(name)
+                        word.append(w)
+                        if len(of) >= BATCH or len(of) * len(name) >= BATCH * 256:
+                            yield made()
+                            of, word = [], []
+        yield made()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch["label"].to_pylist()
+            found = [segmenter({w["word"]: w["n"] for w in ws or ()}, total)(name) for name, ws in zip(names, batch["found"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(found, pa.list_(pa.string()))], ["label", "words"])
+
+    held = labels.mapInArrow(substrings, "label string, word string")
+    known = saved(counts.join(held.select("word").distinct(), "word", "left_semi"), "host-words")
+    found = held.join(bounded(known), "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return labels.join(found, "label", "left").select("label", "found").mapInArrow(split, "label string, words array<string>")
+
+
+def _tokens(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """row, verdict, at, token: the tokens of each row, ``at`` in their order."""
+    each = rows.select("row", "verdict", F.posexplode("parts").alias("place", "part"))
+    label = F.when(F.col("part").startswith("l:"), F.substring("part", 3, 2**31 - 1))
+    each = each.withColumn("label", label)
+    labels = saved(each.select("label").where("label is not null").distinct(), "labels")
+    words = saved(label_words(labels, counts), "label-words")
+    plain = each.where("label is null").select("row", "verdict", F.struct("place", F.lit(0).alias("k")).alias("at"), F.col("part").alias("token"))
+    split = each.where("label is not null").join(bounded(words), "label").select("row", "verdict", "place", F.posexplode("words").alias("k", "word"))
+    return plain.unionByName(split.select("row", "verdict", F.struct("place", "k").alias("at"), F.concat(F.lit("h:"), "word").alias("token")))
+
+
+def log_odds(seen: DataFrame, tokens: DataFrame) -> tuple[float, DataFrame]:
+    """Prior log odds of allow, and token, odds: a row per token that occurs under a verdict. seen: verdict, a row per URL;
+    tokens: verdict, token."""
+    n = {r["verdict"]: r["n"] for r in seen.groupBy("verdict").agg(F.count("*").alias("n")).collect()}
+    each = tokens.groupBy("token").agg(*[F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("allow", "block")])
     each = saved(each, "token-counts")
     totals = each.agg(F.sum("allow"), F.sum("block"), F.count("*")).first()
     size = totals[2] or 1
-    allow, block = ((totals[k] or 0) + size for k in (0, 1))
-    kept = each.orderBy(F.desc(F.col("allow") + F.col("block")), "token").limit(MOST_TOKENS).collect()
-    odds = {r["token"]: math.log((r["allow"] + 1) / allow) - math.log((r["block"] + 1) / block) for r in kept}
-    if not seen:
-        return 0.0, {}
-    return math.log((seen.get("allow", 0) + 1) / (seen.get("block", 0) + 1)), odds
+    odds = [F.log((F.col(v) + 1) / F.lit(float((totals[k] or 0) + size))) for k, v in enumerate(("allow", "block"))]
+    prior = math.log((n.get("allow", 0) + 1) / (n.get("block", 0) + 1)) if n else 0.0
+    return prior, each.select("token", (odds[0] - odds[1]).alias("odds"))
 
 
-def url_verdicts(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (the method's log odds of allow): a row per page."""
-    rows = saved(_tokenized(pages, rules), "urls")
-    model = pages.sparkSession.sparkContext.broadcast(naive_bayes(rows.where("verdict is not null")))  # MOST_TOKENS at most
+def naive_bayes(rows: DataFrame) -> tuple[float, dict[str, float]]:
+    """``log_odds`` of small tables, collected. rows: verdict and tokens."""
+    prior, odds = log_odds(rows, rows.select("verdict", F.explode("tokens").alias("token")))
+    return prior, {r["token"]: r["odds"] for r in odds.collect()}
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prior, odds = model.value
-        for batch in batches:
-            s = [prior + sum(odds.get(t, 0.0) for t in ts) for ts in batch["tokens"].to_pylist()]
-            v = [v or ("allow" if x >= 0 else "block") for v, x in zip(batch["verdict"].to_pylist(), s, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("page_id", "host", "path", "rule")], pa.array(v, pa.string()), pa.array(s, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
 
-    kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+def url_verdicts(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (the method's log odds of allow): a row per page."""
+    rows = saved(_rows(pages, rules), "urls")
+    tokens = saved(_tokens(rows, saved(unigrams(pages), "title-words")), "url-tokens")
+    prior, odds = log_odds(rows.where("verdict is not null"), tokens.where("verdict is not null"))
+    terms = tokens.join(bounded(odds), "token").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "odds"))).alias("terms"))
+    total = F.lit(prior) + F.coalesce(F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["odds"]), F.lit(0.0))
+    scored = rows.join(terms, "row", "left").withColumn("score", total)
+    verdict = F.coalesce("verdict", F.when(F.col("score") >= 0, "allow").otherwise("block"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

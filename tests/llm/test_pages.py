@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -231,6 +232,31 @@ def test_naive_bayes_counts(spark):
     assert urls.naive_bayes(rows.limit(0)) == (0.0, {})
 
 
+def test_models_are_whole(spark):
+    """Rare and long title words, long labels and rare tokens count, however many others are more frequent."""
+    name = lambda k: "".join("bcdfghjklmnpqrst"[k >> 4 * i & 15] for i in range(4))
+    many = " ".join(name(k) for k in range(51_000))
+    long = "antidisestablishmentarianismus"
+    title = lambda t: f"<title>{t}</title>"
+    rows = [(1, "http://x.org/" + many.replace(" ", "/"), title(many)), (2, "http://x.org/" + many.replace(" ", "/"), title(many)), (3, "http://example.org/es/zebu", title(f"zebu {long}"))]
+    rows += [(4, f"http://zebu{long}.org/es/", None), (5, f"http://{'zebu' * 80}.example.org/es/", None), (6, f"http://{long}zebu.net/", None), (7, "http://a.net/zebu", None), (8, f"http://{'zebu' * 80}.net", None)]
+    got = {r.page_id: r for r in urls.url_verdicts(spark.createDataFrame(rows, PAGE)).collect()}
+    counts = Counter(w for _, _, h in rows for w in re.findall(r"[a-z]+", (h or "")[7:-8]))
+    hosts = " ".join(u.split("/")[2] for _, u, _ in rows)
+    segment = urls.segmenter({w: n for w, n in counts.items() if w in hosts}, sum(counts.values()))
+    assert segment(f"zebu{long}") == ("zebu", long)
+    tokens = {i: [t for x in urls.parts(*plain_rule(u)[:2]) for t in ([f"h:{w}" for w in segment(x[2:])] if x[:2] == "l:" else [x])] for i, u, _ in rows}
+    said = {i: plain_rule(u)[3] for i, u, _ in rows}
+    n = {v: Counter(t for i, ts in tokens.items() if said[i] == v for t in ts) for v in ("allow", "block")}
+    total = {v: sum(n[v].values()) + len(n["allow"] | n["block"]) for v in n}
+    logs = lambda v, t: math.log((n[v][t] + 1) / total[v])
+    prior = math.log((1 + sum(v == "allow" for v in said.values())) / (1 + sum(v == "block" for v in said.values())))
+    for i, ts in tokens.items():
+        want = prior + sum(logs("allow", t) - logs("block", t) for t in ts if t in n["allow"] or t in n["block"])
+        assert got[i].score == pytest.approx(want) and got[i].verdict == (said[i] or ("allow" if want >= 0 else "block"))
+    assert {i: got[i].verdict for i in (7, 8)} == {7: "block", 8: "block"}
+
+
 # top-k
 
 
