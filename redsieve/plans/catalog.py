@@ -53,9 +53,14 @@ def _counter_difference(r: Relations) -> DataFrame:
     return metrics.counter_difference(metrics.tool_counters(r.tool_events), metrics.tool_counters(r.tool_events.where("iteration < 3")))
 
 
-def _findings(r: Relations) -> DataFrame:
+def _findings(r: Relations, findings: DataFrame) -> DataFrame:
     terms = identity.preparer_terms(r.parties)
-    return regions.reviewed_findings(r.findings, r.regions, r.region_marks, r.words, terms).select("doc_id", "fid", "outcome")
+    return regions.reviewed_findings(findings, r.regions, r.region_marks, r.words, terms).select("doc_id", "fid", "outcome")
+
+
+def _finding_review(r: Relations) -> DataFrame:
+    """The whole pipeline: all findings, brought to their source pages first."""
+    return _findings(r, regions.remapped(r.findings, regions.page_map(r.sizes, _supplemental(r))))
 
 
 def _runs(r: Relations) -> DataFrame:
@@ -106,7 +111,8 @@ QUERIES: dict[str, Query] = {
     "page_map": _of(lambda r: regions.page_map(r.sizes, _supplemental(r))),
     "overlay_rects": _of(lambda r: render.overlay(r.words, r.word_marks, r.regions, r.region_marks)),
     "draw_list": _of(_draw_list),
-    "finding_filter": _of(_findings),
+    "finding_filter": _of(lambda r: _findings(r, r.findings.where("doc_id % 2 = 0"))),  # a half, as its SQL has it; finding_review is whole
+    "finding_review": _of(_finding_review),
     "identity_terms": _of(lambda r: identity.identity_terms(r.parties)),
     "evidence_text": _of(lambda r: words.evidence_text(r.words, r.sizes)),
     "text_chunks": _of(lambda r: review.text_chunks(r.documents)),

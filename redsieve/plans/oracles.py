@@ -192,6 +192,22 @@ select doc_id, page, z, idx, (x0 - 1) * (200e0 / 72e0) as x0, (top - 1) * (200e0
     + f""", findings as (select doc_id, page || '-' || source || '-' || seq as fid, page, x0, top, x1, bottom, label from detections where doc_id % 2 = 0),
 lists as (select doc_id, list(lower(term)) as terms from identity group by doc_id),
 covered as (select distinct f.doc_id, f.fid from findings f join marked r on r.doc_id = f.doc_id and r.page = f.page where ({_iou("f", "r")}) >= 0.4e0),
+inside as (
+  select f.doc_id, f.fid, lower(string_agg(w.text, ' ' order by w.idx)) as t from findings f join words w on w.doc_id = f.doc_id and w.page = f.page
+    and (w.x0 + w.x1) / 2 between f.x0 and f.x1 and (w.top + w.bottom) / 2 between f.top and f.bottom group by all)
+select f.doc_id, f.fid, case when c.fid is not null then 'dedupe' when f.label is not null and len(list_filter(l.terms, lambda t: contains(lower(f.label), t))) > 0 then 'label'
+  when i.t is not null and len(list_filter(l.terms, lambda t: contains(i.t, t))) > 0 then 'text' else 'kept' end as outcome
+from findings f left join covered c on c.doc_id = f.doc_id and c.fid = f.fid left join inside i on i.doc_id = f.doc_id and i.fid = f.fid left join lists l on l.doc_id = f.doc_id""",
+    "finding_review": _with(_WORDS, _SWEEP, _DETECTIONS, _REGIONS, _SUPPLEMENT, _TERM_LISTS)
+    + f""", shifted as (
+  select z.doc_id, z.page, s.page is not null as sup, (z.page + (select count(*) from supplemental p where p.doc_id = z.doc_id and p.page < z.page))::int as rendered
+  from sizes z left join supplemental s on s.doc_id = z.doc_id and s.page = z.page),
+rendered_pages as (select doc_id, rendered, page from shifted union all select doc_id, rendered + 1, null from shifted where sup),
+findings as (
+  select d.doc_id, d.page || '-' || source || '-' || seq as fid, coalesce(m.page, d.page) as page, x0, top, x1, bottom, label
+  from detections d left join rendered_pages m on m.doc_id = d.doc_id and m.rendered = d.page where m.rendered is null or m.page is not null),
+lists as (select doc_id, list(lower(term)) as terms from identity group by doc_id),
+covered as (select distinct f.doc_id, f.fid from findings f join marked r on r.doc_id = f.doc_id and r.page = f.page where ({_iou("f", "r")}) >= 0.4e0),
 inside as (
   select f.doc_id, f.fid, lower(string_agg(w.text, ' ' order by w.idx)) as t from findings f join words w on w.doc_id = f.doc_id and w.page = f.page
     and (w.x0 + w.x1) / 2 between f.x0 and f.x1 and (w.top + w.bottom) / 2 between f.top and f.bottom group by all)

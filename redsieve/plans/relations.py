@@ -105,7 +105,7 @@ class Relations:
 
     @property
     def findings(self) -> DataFrame:
-        """Each detection on every other document as a reviewer's finding."""
-        d = self.detections.where("doc_id % 2 = 0")
+        """Each detection as a reviewer's finding, its page as one of the rendered document."""
+        d = self.detections
         fid = F.format_string("%d-%s-%d", "page", "source", "seq")
         return d.select("doc_id", fid.alias("fid"), "page", "x0", "top", "x1", "bottom", F.col("conf").alias("confidence"), "label")

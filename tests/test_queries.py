@@ -40,6 +40,13 @@ def test_spatial_joins_are_no_nested_loops(spark, sf_dir):
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
 
 
+def test_findings_of_all_documents_are_reviewed(spark, sf_dir):
+    got = QUERIES["finding_review"](spark, sf_dir)
+    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in QUERIES["page_sizes"](spark, sf_dir).collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_entry_and_contract(spark):
     import __spark_entry__ as e
 
