@@ -88,12 +88,13 @@ def _page_texts(rows: DataFrame, token: Column) -> DataFrame:
     return rows.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("idx"), token.alias("t")))), lambda w: w["t"]), " ").alias("t"))
 
 
-def redacted_text(words: DataFrame, marks: DataFrame, most: int = DEFAULT.reviewer_text_chars) -> DataFrame:
-    """doc_id, text: the words in order with REDACTED in place of marked ones, a header before each page that has words."""
+def redacted_text(words: DataFrame, marks: DataFrame, most: int | None = None) -> DataFrame:
+    """doc_id, text: the words in order with REDACTED in place of marked ones, a header before each page that has words; of each
+    text the first ``most`` characters, if given."""
     pages = _page_texts(flagged(words, marks), F.when(F.col("redacted"), F.lit(REDACTED)).otherwise(F.col("text")))
     header = lambda p: F.concat(F.lit("\n--- Page "), (p["page"] + 1).cast("string"), F.lit(" ---\n "), p["t"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), header), " \n ")
-    return pages.groupBy("doc_id").agg(F.substring(joined, 1, most).alias("text"))
+    return pages.groupBy("doc_id").agg((joined if most is None else F.substring(joined, 1, most)).alias("text"))
 
 
 def evidence_text(words: DataFrame, sizes: DataFrame, front: int = DEFAULT.front_pages, back: int = DEFAULT.back_pages, most: int = DEFAULT.evidence_chars) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsieve.cli import initial_state
+from redsieve.config import DEFAULT
 from redsieve.operators import identity, metrics, regions, render, review, words
 from redsieve.plans.loop import rule_reviewer, run_loop, term_redactor
 from redsieve.plans.oracles import ORACLES
@@ -24,6 +25,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.redacted_text(r.words, r.word_marks)
 
 
+def _reviewer_view(r: Relations) -> DataFrame:
+    """What the reviewer's tool shows: texts are cut."""
+    return words.redacted_text(r.words, r.word_marks, DEFAULT.reviewer_text_chars)
+
+
 def _of(f: Callable[[Relations], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(Relations(spark, sf_dir))
 
@@ -97,7 +103,8 @@ QUERIES: dict[str, Query] = {
     "term_sweep_marks": _of(lambda r: r.word_marks),
     "words_listing": _of(lambda r: _listing(words.list_words(r.words, r.word_marks), "words", "idx", "text", "redacted")),
     "visible_words": _of(lambda r: words.visible(r.words, r.word_marks).select("doc_id", "page", "idx", "text")),
-    "redacted_text_view": flagship,
+    "redacted_text_view": _of(_reviewer_view),  # cut, as its SQL has it; redacted_documents is whole
+    "redacted_documents": flagship,
     "span_apply": _of(_span_apply),
     "region_strategy": _of(lambda r: r.regions),
     "region_listing": _of(lambda r: _listing(regions.list_regions(r.regions, r.region_marks), "regions", "idx", "kind", "strategy", "redacted")),

@@ -58,7 +58,7 @@ def rule_reviewer() -> Reviewer:
     """Misses are what the rules for personal data find in the redacted text; without any, a document is approved."""
 
     def run(state: State, active: DataFrame) -> DataFrame:
-        text = words.redacted_text(state.words.join(active, "doc_id", "left_semi"), state.word_marks)
+        text = words.redacted_text(state.words.join(active, "doc_id", "left_semi"), state.word_marks, DEFAULT.reviewer_text_chars)
         found = review.rule_entities(review.text_chunks(text)).select("doc_id", F.struct(F.lit("PII").alias("type"), "text").alias("m")).distinct()
         misses = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("misses"))
         j = active.join(misses, "doc_id", "left")

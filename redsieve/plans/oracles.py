@@ -155,6 +155,8 @@ ORACLES: dict[str, str] = {
     "visible_words": _with(_WORDS, _SWEEP, _VISIBLE) + "select doc_id, page, idx, text from visible",
     "redacted_text_view": _with(_WORDS, _SWEEP)
     + f"select doc_id, substr(string_agg(e'\\n--- Page ' || (page + 1) || e' ---\\n ' || t, e' \\n ' order by page), 1, 60000) as text from (select w.doc_id, w.page, {_TEXTS} as t from {_MARKED} group by all) group by doc_id",
+    "redacted_documents": _with(_WORDS, _SWEEP)
+    + f"select doc_id, string_agg(e'\\n--- Page ' || (page + 1) || e' ---\\n ' || t, e' \\n ' order by page) as text from (select w.doc_id, w.page, {_TEXTS} as t from {_MARKED} group by all) group by doc_id",
     "span_apply": _with(_WORDS)
     + """, wanted as (
   select doc_id, unnest([0, 0, 0, 0, 1])::int as page, unnest([0, (doc_id % 5)::int, 4, 99999, 0])::int as idx, 3 as bad from documents where doc_id % 10 <> 0

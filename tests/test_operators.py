@@ -222,6 +222,19 @@ def test_exit_rules(spark, rows, most, want):
     assert (e.iteration, e.decision) == want
 
 
+def test_redacted_texts_are_whole(spark, tmp_path):
+    from redsieve import cli
+    from redsieve.plans.catalog import QUERIES, flagship
+
+    spark.createDataFrame([(1, "of the " + "word " * 20_000 + "end")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = flagship(spark, str(tmp_path)).first().text
+    assert len(whole) > 100_000 and whole.endswith(" end") and whole.count("[REDACTED]") == 2
+    assert QUERIES["redacted_documents"](spark, str(tmp_path)).first().text == whole
+    assert QUERIES["redacted_text_view"](spark, str(tmp_path)).first().text == whole[:60_000]
+    assert cli.main(["--input", str(tmp_path / "documents.parquet"), "--output", str(tmp_path / "out"), "--term", "of the"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out" / "text")).first().text == whole
+
+
 def test_loop(spark):
     w = page_words(spark, "call a.b@c.org now", doc_id=1).union(page_words(spark, "the plain text", doc_id=2))
     reg = spark.createDataFrame([region(0, 0, (0, 0, 9, 9), strategy="page_split", doc_id=2)], REGION)
