@@ -13,6 +13,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "t
 #: An element doesn't close those outside the nearest of these.
 HOLDERS = frozenset("ul ol dl table select article aside section main nav header footer div form body html td th blockquote".split())
 _KEEP_P = frozenset("html head body".split())
+#: What may open in a head without ending it; other elements, and text, end it. The rest of a head's elements have no node.
+_IN_HEAD = frozenset("html head noframes".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?(?:>.*?(?:</\1\s*+>|\Z)|\Z)"
@@ -56,11 +58,16 @@ def parse(page: str) -> Tree:
             if link_depth:
                 linked += len(raw)
 
+    def leave_head() -> None:
+        if tree.nodes[open_[-1]].tag == "head":
+            open_.pop()
+
     def flush() -> None:
         nonlocal linked, link_depth
         if run:
             words = " ".join(html.unescape("".join(run)).split())
             if words:
+                leave_head()
                 node = tree.nodes[open_[-1]]
                 node.letters += len(words)
                 node.linked += min(linked, len(words))
@@ -104,6 +111,8 @@ def parse(page: str) -> Tree:
                     del open_[k:]
                     break
             continue
+        if tag not in _IN_HEAD:
+            leave_head()
         if tag not in _KEEP_P:
             close(("p", "h1", "h2", "h3", "h4", "h5", "h6"))
         if tag in CLOSES:

@@ -257,6 +257,18 @@ def test_models_are_whole(spark):
     assert {i: got[i].verdict for i in (7, 8)} == {7: "block", 8: "block"}
 
 
+def test_heads_without_end_tags():
+    model = extraction.train(list(extraction.labelled_pages()))
+    body = "<div class=article>" + "".join(f"<p>A sentence of some length stands here, number {k}, and goes on for a while.</p>" for k in range(8)) + "</div>"
+    want = extraction.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>", model)
+    assert want.count("sentence") == 8
+    for head in ("<head><title>t</title><body>", "<head><title>t</title><meta name=x><body>", "<head><title>t</title>", "<HEAD><style>p {}</style>\n<noscript><p>no</p></noscript>"):
+        assert extraction.main_text(f"<html>{head}{body}", model) == want
+    tree = dom.parse("<html><head><title>t</title>first <b>words</b></head><p>then")
+    assert [(tree.nodes[v].tag, t) for v, t in tree.blocks] == [("html", "first words"), ("p", "then")]
+    assert [tree.nodes[n.parent].tag for n in dom.parse("<html><head><frameset><frame></frameset>").nodes if n.tag == "frameset"] == ["html"]
+
+
 # top-k
 
 
