@@ -1,13 +1,14 @@
 """Token ids in binary shards compressed by Re-Pair.
 
 Documents are dealt to shards by ranges of doc_id. In a shard, the most frequent pairs of ids are replaced by nonterminals, again
-and again: each round counts all adjacent pairs, gives nonterminals to the most frequent and replaces them from left to right.
+and again, until no pair is left that is frequent: each round counts all adjacent pairs, gives nonterminals to the most frequent and
+replaces them from left to right.
 No pair reaches over the end of a document, so a document's symbols can be decoded alone, and the stored expansion lengths give
 the place of any id without decoding those before it.
 
 A shard, little-endian: magic, nine unsigned 64-bit counts (partition, number in it, documents, ids, symbols, rules, first
-nonterminal, symbol bytes, doc_id missing flag), then rules (two u32 each), expansion lengths (u32), doc_ids (i64), one byte per
-document for a null doc_id, symbol offsets (u64, one more than documents), symbols (u16 or u32).
+nonterminal, symbol bits, doc_id missing flag), then rules (two u32 each), expansion lengths (u32), doc_ids (i64), one byte per
+document for a null doc_id, symbol offsets (u64, one more than documents), the low 16 bits of the symbols (u16), and for each bit above them the bits of all symbols.
 
 Defined results: a null or empty text is the end id alone. Documents without a doc_id come first. Rows that repeat a doc_id are
 documents of their own, one after the other. A document longer than a shard is a shard of its own. An empty table gives no
@@ -32,9 +33,8 @@ from redsieve.llm.ids import encoder
 MAGIC = b"REPAIR01"
 _HEAD = struct.Struct("<8s9Q")
 
-#: Ids of a shard, rounds, nonterminals a round, and the least count of a pair that gets one.
+#: Ids of a shard, nonterminals a round, and the least count of a pair that gets one.
 SHARD_IDS = 1 << 21
-ROUNDS = 4
 PAIRS = 4000
 LEAST = 8
 #: Ids of the vocabulary: nonterminals come after them.
@@ -72,20 +72,24 @@ def _found(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return places[hit], which[hit]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """symbols, offsets of the documents in them, rules. ends: the place after each document's last id."""
-    small = first < 1 << 16  # then nonterminals are kept within two bytes, and a pair is one number of four
-    kind, shift = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
-    nothing = np.iinfo(kind).max  # stands for a pair over the end of a document; no pair has it, as the last symbol is left out
-    most = (1 << 16) - 1 - first if small else 1 << 31
-    s = ids.astype(kind)
+def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, offsets of the documents in them, rules. ends: the place after each document's last id.
+    rounds: as many as there are frequent pairs for, by default."""
+    small = first < (1 << 16) - 1  # as long as symbols are within two bytes, a pair is one number of four
+    s = ids
     last = np.zeros(len(s), dtype=bool)
     last[ends - 1] = True
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        small = small and n_rules < (1 << 16) - 1 - first
+        kind, shift = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
+        nothing = np.iinfo(kind).max  # stands for a pair over the end of a document; no pair has it, as the last symbol is left out
+        most = (1 << 16) - 1 - first if small else 1 << 31
+        s = s.astype(kind)
         keys = np.where(last[:-1], nothing, (s[:-1] << shift) | s[1:])
-        chosen = _frequent(keys[~last[:-1]], min(pairs, most - n_rules), least) if most > n_rules else keys[:0]
+        chosen = _frequent(keys[~last[:-1]], min(pairs, most - n_rules), least)
         if not len(chosen):
             break
         places, which = _found(keys, chosen)
@@ -98,6 +102,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, rounds:
         s, last = s[stay], last[stay]
         rules.append(np.stack([chosen >> shift, chosen & kind((1 << int(shift)) - 1)], axis=1).astype(np.uint32))
         n_rules += len(chosen)
+        done += 1
     offsets = np.concatenate([[0], np.flatnonzero(last) + 1]).astype(np.uint64)
     return s, offsets, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
@@ -112,10 +117,11 @@ def _lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 def to_bytes(partition: int, number: int, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY) -> bytes:
     symbols, offsets, rules = compress(ids, ends, first)
-    width = 2 if first + len(rules) <= 1 << 16 else 4
+    width = max(16, (first + len(rules) - 1).bit_length())
     missing = np.array([d is None for d in doc_ids], dtype=np.uint8)
     head = _HEAD.pack(MAGIC, partition, number, len(doc_ids), len(ids), len(symbols), len(rules), first, width, int(missing.any()))
-    parts = (rules.astype("<u4"), _lengths(rules, first).astype("<u4"), np.array([d or 0 for d in doc_ids], dtype="<i8"), missing, offsets.astype("<u8"), symbols.astype(f"<u{width}"))
+    parts = (rules.astype("<u4"), _lengths(rules, first).astype("<u4"), np.array([d or 0 for d in doc_ids], dtype="<i8"), missing, offsets.astype("<u8"), (symbols & symbols.dtype.type(0xFFFF)).astype("<u2"))
+    parts += tuple(np.packbits((symbols >> symbols.dtype.type(k) & symbols.dtype.type(1)).astype(bool)) for k in range(16, width))
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -196,7 +202,9 @@ def from_bytes(data: bytes) -> Shard:
     doc_ids, missing = take("<i8", n_docs).tolist(), take("u1", n_docs)
     for k in np.flatnonzero(missing).tolist():
         doc_ids[k] = None
-    offsets, symbols = take("<u8", n_docs + 1), take(f"<u{width}", n_symbols)
+    offsets, symbols = take("<u8", n_docs + 1), take("<u2", n_symbols)
+    for k in range(16, width):
+        symbols = symbols.astype("<u4") | np.unpackbits(take("u1", (n_symbols + 7) // 8), count=n_symbols).astype("<u4") << np.uint32(k)
     return Shard(partition, number, doc_ids, n_ids, first, rules, lengths, offsets, symbols)
 
 

@@ -277,6 +277,24 @@ def test_token_shards(spark, documents, odd, empty):
     assert tokenbin.token_shards(empty).count() == 0
 
 
+def test_no_frequent_pair_stays():
+    """Shards of copies are replaced to the end, and nonterminals beyond two bytes are written."""
+    r = np.random.default_rng(3)
+    text = r.integers(0, 900, 300)
+    copies = np.concatenate([np.append(text, 901) for _ in range(1500)]).astype(np.uint32)
+    ends = np.arange(301, len(copies) + 1, 301)
+    mixed = np.concatenate([np.tile(r.permutation(1000), 8) for _ in range(20)]).astype(np.uint32)
+    for ids, stops, first in ((copies, ends, 1000), (copies, ends, (1 << 16) - 100), (mixed, np.array([len(mixed)]), (1 << 16) - 50)):
+        symbols, offsets, rules = tokenbin.compress(ids, stops, first)
+        pairs = Counter((a, b) for at, to in itertools.pairwise(offsets.tolist()) for a, b in itertools.pairwise(symbols[at:to].tolist()))
+        assert all(n < tokenbin.LEAST for n in pairs.values())
+        s = tokenbin.from_bytes(tokenbin.to_bytes(0, 0, list(range(len(stops))), ids, stops, first))
+        assert np.array_equal(np.concatenate([x for _, x in s.documents()]), ids)
+        assert s.symbols.tolist() == symbols.tolist()
+        assert (first == 1000) == (first + len(rules) <= 1 << 16)
+    assert len(tokenbin.compress(copies, ends, 1000)[0]) == len(ends)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_repair_round_trip(seed):
     r = np.random.default_rng(seed)
