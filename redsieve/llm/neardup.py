@@ -3,17 +3,21 @@
 A document's set is its distinct word shingles under one 64-bit hash; its sketch is the k least of them. Documents with equal
 sets become one class first, so that a group of copies is one row from there on. Retained values that several classes share form
 inverted lists; a class enters only the lists of its rarest retained values, as many as two sketches of similar sets can't all
-miss. Within a list pairs come from hubs, not from all members: first the least member, then one of the largest component for
-those left over, then every member that is still apart. A list is done when all its members are of one component or every
-pair across components has been looked at, so no link is lost to a hub. A pair's overlap is bounded by bitmaps that the lists
-carry, then estimated from the sketch of the union, then the full sets decide.
+miss. A list is not taken pair by pair. Its hub, the member whose values are the commonest, meets each other member: the sketch of
+the union tells whether they are near, and the full sets of near ones give the exact Jaccard and what they differ in.
 
-Chance of missing a link: sketches of sets with a Jaccard of 0.8 share fewer than ``least_shared`` of 48 values with a
-probability under 2e-8; sets of up to 38 shingles are compared without any.
+What is left of a list are pairs without a link to the hub. Jaccard distance is a metric, so a member that is far from the hub has
+no link to one that is linked with it. Near members are searched by their differences from the hub (``deltas``), which few of them
+share. Members that aren't linked with the hub form a list again if some of them are far from it, with hubs among those (32, 1,024, ... a
+list and round), until none is left; so no link is lost to the choice of a hub.
+
+Chance of missing a link: MISS for each of a pair's sketches, if its Jaccard is just at the threshold; sets that their sketches hold
+whole are compared without any.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; fewer words than a shingle form one
-shingle. Rows that repeat a doc_id are taken for one document, each returned. A row whose doc_id is null is never linked; its
-component_id is null and it is kept. An empty table gives an empty one. Other columns of the input play no part."""
+shingle. Each row is linked by its own text, also where rows repeat a doc_id or have none. component_id is the least doc_id that
+the links of the row's text reach, null where no such row has one. kept is doc_id = component_id; of rows without any doc_id in
+their component, one. An empty table gives an empty one. Other columns of the input play no part."""
 
 from __future__ import annotations
 
@@ -24,14 +28,28 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redsieve.llm.common import bounded, let, saved, text_of, without, words
+from redsieve.llm.common import KEY, bounded, discard, let, row_key, saved, text_of, thinned, without, words
 from redsieve.llm.components import components
+from redsieve.llm.deltas import linked, links_by_difference
+
+#: Retained values of a sketch.
+SKETCH = 64
+#: Chance that a sketch tells wrongly that two sets are below a bound when they are just at it.
+MISS = 2e-8
+#: Sketches that may be broadcast, half a kilobyte each.
+MOST_SKETCHES = 20_000
+
+
+def least_shared(k: int, share: float, miss: float = MISS) -> int:
+    """How many of ``k`` values drawn from a union at least lie in both sets, but for a chance of ``miss``, if ``share`` of it does."""
+    below, n = 0.0, 0
+    while n < k:
+        below += math.comb(k, n) * share**n * (1 - share) ** (k - n)
+        if below > miss:
+            break
+        n += 1
+    return n
 
-#: Retained values of a sketch, and how many of them two sketches of linked sets share at least.
-SKETCH = 48
-LEAST_SHARED = 20
-#: Longs of a bitmap, 64 bits each.
-MAP = 4
 
 def shingle_set(text: Column, size: int) -> Column:
     """The ascending distinct hashes of the shingles of ``size`` words; A-Z count as a-z."""
@@ -45,173 +63,161 @@ def shingle_set(text: Column, size: int) -> Column:
     return let(words(F.translate(text, string.ascii_uppercase, string.ascii_lowercase)), hashed)
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    return docs.select("doc_id", text_of().alias("_t")).select("doc_id", shingle_set(F.col("_t"), size).alias("set"))
-
-
 def _rows(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, and the sketch."""
-    return _sets(docs, size).select("doc_id", F.size("set").cast("long").alias("n_shingles"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"), F.slice("set", 1, SKETCH).alias("sketch"))
+    """A row per document: its number, doc_id, row key, n_shingles, a 128-bit key of the set, and the sketch."""
+    sets = docs.select("doc_id", *row_key("doc_id", "text"), text_of().alias("_t")).select("doc_id", *KEY, shingle_set(F.col("_t"), size).alias("set"))
+    numbered = F.monotonically_increasing_id().alias("row")  # written with the rows, so it stays
+    return sets.select(numbered, "doc_id", *KEY, F.size("set").cast("long").alias("n_shingles"), F.xxhash64("set").alias("s1"), F.xxhash64(F.lit(1), "set").alias("s2"), F.slice("set", 1, SKETCH).alias("sketch"))
 
 
-def _least_shared(n: Column, percent: int) -> Column:
-    """How many values the sketch of a set of ``n`` shares with that of any linked set: of small sets, which sketches hold
-    whole, as many as the threshold asks for."""
-    whole = F.floor(F.lit(SKETCH * percent / 100))
-    return F.when(n <= whole, F.ceil(n * percent / 100)).otherwise(F.lit(LEAST_SHARED)).cast("int")
-
-
-def _bitmap(part: int) -> Column:
-    """One long of the bitmap of the retained values."""
-    one = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), v.bitwiseAND(63).cast("int"))
-    mine = lambda v: F.pmod(F.shiftrightunsigned(v, 6), F.lit(MAP)) == part
-    return F.aggregate("sketch", F.lit(0).cast("bigint"), lambda m, v: F.when(mine(v), m.bitwiseOR(one(v))).otherwise(m))
-
-
-def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """v, rep, n, x (values in the sketch), c (least shared) and the bitmap, for the rarest retained values of each class.
-    classes: rep, n, sketch."""
+def _lists(reps: DataFrame, percent: int) -> DataFrame:
+    """v, rep, typical: the rarest shared retained values of each class. reps: rep, n, sketch; typical: how common its values are."""
     linkable = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 62  # smaller sets are linked with equal ones alone
-    entries = classes.where(F.col("n") >= linkable).select("rep", F.explode("sketch").alias("v"))
+    entries = reps.where(F.col("n") >= linkable).select("rep", F.least("n", F.lit(SKETCH + 1)).cast("int").alias("n"), F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    rare = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("common"))  # as many as a sketch holds
-    bits = [_bitmap(j).alias(f"m{j}") for j in range(MAP)]
-    rows = classes.join(rare, "rep").select("rep", "n", F.size("sketch").alias("x"), _least_shared(F.col("n"), percent).alias("c"), F.lit(None).cast("double").alias("s"), *bits, "common")
-    first = F.col("x") - F.col("c") + 1 - (F.col("x") - F.size("common"))  # values that no other class has come first of all
-    rows = rows.where(first > 0).withColumn("v", F.explode(F.slice("common", F.lit(1), F.greatest(first, F.lit(1))))).withColumn("v", F.col("v")["v"]).drop("common")
-    rows = saved(rows, "lists")
-    return saved(rows.join(rows.groupBy("v").agg(F.count("*").alias("_m")).where("_m > 1"), "v").drop("_m"), "lists")
-
-
-_FIELDS = ("rep", "n", "x", "c", "s", *(f"m{j}" for j in range(MAP)))
-
-
-def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """a < b of each hub and member of a list, of different components, unless sizes, bitmaps or their similarities to the list's
-    first hub, where both are known, rule the link out: the Jaccard distance is a metric.
-    members: v, comp and _FIELDS; hubs: v, hub (a struct of comp and _FIELDS)."""
-    j = members.join(hubs, "v")
-    h = lambda f: F.col("hub")[f]
-    apart = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(h(f"m{i}"))) for i in range(MAP)), F.lit(0))
-    fits = (F.least("n", h("n")) * 100 >= F.greatest("n", h("n")) * percent) & (apart <= F.col("x") + h("x") - 2 * F.least("c", h("c")))
-    near = F.coalesce(F.abs(F.col("s") - h("s")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    return j.where((F.col("comp") != h("comp")) & fits & near).select(F.least("rep", h("rep")).alias("a"), F.greatest("rep", h("rep")).alias("b")).distinct()
-
-
-def _of_pairs(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The ``rows`` whose ``key`` is in a pair: by broadcast of the ids where they are few."""
-    ids = saved(pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct(), "ids")
-    return rows.join(bounded(ids), key, "left_semi")
-
-
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose union sketch doesn't rule the link out."""
-    s = _of_pairs(pairs, classes.select("rep", "n", "sketch"), "rep")
-    of = lambda side: s.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    j = pairs.join(of("b"), "b").join(of("a"), "a")
-    union = F.sort_array(F.array_union("sa", "sb"))
-    whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
+    common = entries.join(shared, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("common"))  # as many as a sketch holds
+    retained = F.least("n", F.lit(SKETCH))
+    # a set that its sketch holds whole, as it does those of its links, misses as few values as the threshold says
+    whole = F.col("n") <= math.floor(SKETCH * percent / 100)
+    least = F.when(whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(least_shared(SKETCH, percent / 100))).cast("int")
+    first = (retained - least + 1) - (retained - F.size("common"))  # values that no other class has come first of all
+    typical = F.aggregate("common", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double"))) / retained
+    rows = common.withColumn("first", first).where("first > 0")
+    return rows.select("rep", typical.alias("typical"), F.explode(F.slice("common", F.lit(1), F.col("first"))).alias("c")).select(F.col("c.v").alias("v"), "rep", "typical")
+
+
+def _hubs(lists: DataFrame, parts: int) -> DataFrame:
+    """v, hub, open: for each part of a list, the member with the commonest values among those that are to be hubs (``far``). A list
+    is open unless its hubs take part in all pairs that are left."""
+    far = F.when(F.col("far"), F.struct("typical", "rep"))
+    part = lists.groupBy("v", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")).agg(F.count("*").alias("m"), F.count_if("far").alias("f"), F.max(far)["rep"].alias("hub"))
+    part = saved(part, "parts")
+    each = part.groupBy("v").agg(F.sum("m").alias("m"), F.sum("f").alias("f"), F.count("hub").alias("hubs")).where("m > 1")
+    return part.where("hub is not null").select("v", "hub").join(each.select("v", ((F.col("f") > F.col("hubs")) & (F.col("m") > F.col("hubs") + 1)).alias("open")), "v")
+
+
+def _judged(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """hub, rep, open and near of each pair: whether sizes and the sketch of the union leave it open that they are linked, or, for
+    pairs of open lists, that their Jaccard reaches 1 less twice the distance of linked sets."""
+    bar = F.when(F.col("open"), F.lit(max(0, 2 * percent - 100))).otherwise(F.lit(percent))
+    shared = F.when(F.col("open"), F.lit(least_shared(SKETCH, max(0, 2 * percent - 100) / 100))).otherwise(F.lit(least_shared(SKETCH, percent / 100)))
+    ids = saved(pairs.select("rep").union(pairs.select("hub")).distinct(), "ids")
+    hubs = saved(pairs.select("hub").distinct(), "hub-ids")
+    narrow = reps.select("rep", "n", "sketch")
+    of_hubs = saved(narrow.join(bounded(hubs.withColumnRenamed("hub", "rep")), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("n").alias("nh"), F.col("sketch").alias("sh")), "hub-sketches")
+    j = pairs.join(narrow.join(bounded(ids), "rep", "left_semi"), "rep").join(bounded(of_hubs, MOST_SKETCHES), "hub")
+    union = F.sort_array(F.array_union("sketch", "sh"))
+    whole = (F.col("n") <= SKETCH) & (F.col("nh") <= SKETCH)
     sample = F.when(whole, union).otherwise(F.slice(union, 1, SKETCH))
-    both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), sample))
-    return j.where(both * SKETCH >= LEAST_SHARED * F.least(F.size(sample), F.lit(SKETCH))).select("a", "b")
-
-
-def _compared(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs with ``linked`` and ``similarity`` of their full sets; only the texts of documents in pairs are read again."""
-    # rows that repeat a doc_id are one document
-    sets = _sets(_of_pairs(pairs, docs.select("doc_id", "text"), "doc_id"), size).dropDuplicates(["doc_id"])
-    sets = saved(sets.select("doc_id", F.size("set").alias("n"), "set"), "sets")
-    of = lambda side: sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n{side}"), F.col("set").alias(f"s{side}"))
-    j = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    union = F.col("na") + F.col("nb") - F.col("i")
-    return j.select("a", "b", (F.col("i") * 100 >= union * percent).alias("linked"), (F.col("i") / union).alias("similarity"))
-
-
-def _least(members: DataFrame, by: list[str], order: Column) -> DataFrame:
-    return members.groupBy(*by).agg(F.min(F.struct(order.alias("o"), "comp", *_FIELDS)).alias("hub"))
-
-
-def _links(lists: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: links whose components are those of all links."""
-    found: list[DataFrame] = []
-    tested: list[DataFrame] = []
+    both = F.size(F.array_intersect(F.array_intersect("sketch", "sh"), sample))
+    near = F.when(whole, both * 100 >= F.size(sample) * bar).otherwise(both >= shared)
+    sizes = F.least("n", "nh") * 100 >= F.greatest("n", "nh") * bar
+    out = saved(j.select("hub", "rep", "open", (sizes & near).alias("near")), "judged")
+    discard(ids, hubs, of_hubs)
+    return out
+
+
+def _compared(near: DataFrame, docs: DataFrame, keys: DataFrame, size: int, percent: int) -> DataFrame:
+    """hub, rep, open, n, nh, more (what rep has and hub hasn't), less and linked, from full sets; only texts of documents in ``near``
+    are read again. keys: rep and row key."""
+    ids = saved(near.select("rep").union(near.select("hub")).distinct(), "ids")
+    wanted = saved(keys.join(bounded(ids), "rep", "left_semi").select("rep", *KEY), "wanted")
+    texts = docs.select(*row_key("doc_id", "text"), text_of().alias("_t")).join(bounded(wanted), list(KEY))
+    sets = texts.select("rep", shingle_set(F.col("_t"), size).alias("set")).groupBy("rep").agg(F.first("set").alias("set"))  # rows that are alike
+    sets = saved(sets, "sets")
+    hubs = saved(near.select("hub").distinct(), "hub-ids")
+    of_hubs = saved(sets.join(bounded(hubs.withColumnRenamed("hub", "rep")), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("set").alias("hs")), "hub-sets")
+    j = near.join(sets, "rep").join(of_hubs, "hub")
+    j = j.select("hub", "rep", "open", F.size("set").alias("n"), F.size("hs").alias("nh"), F.array_except("set", "hs").alias("more"), F.array_except("hs", "set").alias("less"))
+    out = saved(j.withColumn("linked", linked(F.col("n") + F.col("nh"), F.size("more") + F.size("less"), percent)), "compared")
+    discard(ids, wanted, sets, hubs, of_hubs)
+    return out
+
+
+def _links(lists: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """a, b: links whose components are those of all links. lists: v, rep, typical and far, of which the hubs are chosen."""
     compared: list[DataFrame] = []
-
-    def look(members: DataFrame, hubs: DataFrame) -> bool:
-        pairs = saved(_pairs(members, hubs, percent), "pairs")
-        if pairs.isEmpty():
-            return False
-        likely = _likely(pairs, classes)
-        likely = saved(likely.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti") if tested else likely, "likely")
-        if likely.isEmpty():
-            return False
-        tested.append(likely)
-        compared.append(saved(_compared(likely, docs, size, percent), "compared"))
-        new = compared[-1].where("linked").select("a", "b")
-        if new.isEmpty():
-            return False
-        found.append(new)
-        return True
-
-    def everything() -> DataFrame:
-        return reduce(DataFrame.union, found)
-
-    def labelled() -> DataFrame:
-        """The members of the lists that hold more than one component, with their components."""
-        of = saved(components(everything()), "components").withColumnRenamed("id", "rep")
-        m = lists.join(bounded(of), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        mixed = m.groupBy("v").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"), F.count("*").alias("_m")).where("_l <> _h and _m > 2").select("v")
-        return saved(m.join(mixed, "v"), "mixed")
-
-    own = lists.withColumn("comp", F.col("rep"))
-    first = saved(_least(own, ["v"], F.col("rep")), "hubs")
-    done = first.select("v", F.col("hub.rep").alias("rep"))
-    look(own, first)
-    if compared:  # from here on, members know how similar they are to the list's first hub
-        to_first = saved(compared[0].select(F.col("a").alias("_first"), F.col("b").alias("rep"), "similarity"), "similarities")
-        known = lists.drop("s").join(first.select("v", F.col("hub.rep").alias("_first")), "v").join(bounded(to_first), ["rep", "_first"], "left")
-        lists = saved(known.withColumn("s", F.when(F.col("rep") == F.col("_first"), F.lit(1.0)).otherwise(F.col("similarity"))).drop("_first", "similarity"), "lists")
-        own = lists.withColumn("comp", F.col("rep"))
-    if not found:  # then each member but the hubs is still apart
-        m = saved(own.join(own.groupBy("v").agg(F.count("*").alias("_m")).where("_m > 2").select("v"), "v"), "mixed")
-    else:
-        m = labelled()
     step = 0
+
+    def labels() -> DataFrame:
+        links = [c.where("linked").select(F.col("hub").alias("a"), F.col("rep").alias("b")) for c in compared]
+        return components(reduce(DataFrame.union, links))
+
     while True:
-        most = m.groupBy("v", "comp").agg(F.count("*").alias("_n")).groupBy("v").agg(F.max(F.struct("_n", "comp")).alias("_most"))
-        m2 = m.join(most, "v").withColumn("large", F.col("comp") == F.col("_most.comp")).drop("_most")
-        rest = saved(m2.where("not large").join(done, ["v", "rep"], "left_anti"), "rest")
-        if rest.isEmpty():
-            return everything() if found else lists.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-        if step == 0:
-            # others of the largest component, a different one in each list, for those that aren't linked with the hub
-            hubs = _least(m2.where("large"), ["v"], F.xxhash64("v", "rep"))
-            new = look(rest, saved(hubs, "hubs"))
-        else:
-            share = F.pmod(F.xxhash64("rep"), F.lit(32 ** min(step, 6)))
-            hubs = saved(_least(rest.withColumn("_s", share), ["v", "_s"], F.col("rep")).select("v", "hub"), "hubs")
-            new = look(m2, hubs)
-            done = saved(done.union(hubs.select("v", F.col("hub.rep"))), "done")
-        m = labelled() if new else m
+        hubs = saved(_hubs(lists, 32 ** min(step, 6)), "hubs")
+        met = lists.join(hubs, "v").where("rep <> hub")
+        pairs = saved(met.groupBy("hub", "rep").agg(F.max("open").alias("open")), "pairs")
+        judged = _judged(pairs, reps, percent)
+        near = judged.where("near").select("hub", "rep", "open")
+        discard(pairs)
+        linked_here = None
+        if not near.isEmpty():
+            compared.append(_compared(near, docs, reps, size, percent))
+            linked_here = saved(compared[-1].where("linked").select("hub", "rep"), "linked")
+        far = saved(judged.where("open and not near").select("hub", "rep"), "far")
+        if far.isEmpty():
+            break
+        # hubs and members that are linked with one have no other links to seek in the list
+        gone = hubs.select("v", F.col("hub").alias("rep"))
+        if linked_here is not None:
+            gone = gone.union(met.join(bounded(linked_here), ["hub", "rep"], "left_semi").select("v", "rep"))
+        rest = lists.select("v", "rep", "typical").join(saved(hubs.where("open").select("v").distinct(), "open"), "v")
+        rest = saved(rest.join(gone.distinct(), ["v", "rep"], "left_anti"), "rest")
+        # the hub that fewest are far from: all others are near it, and their differences from it are searched
+        apart = saved(rest.join(hubs, "v").join(bounded(far), ["hub", "rep"], "left_semi").select("v", "hub", "rep"), "apart")
+        counts = hubs.join(apart.groupBy("v", "hub").agg(F.count("*").alias("_n")), ["v", "hub"], "left")
+        best = counts.groupBy("v").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "hub")).alias("best")).where("best._n > 0").select("v", "best.hub")
+        seek = saved(apart.join(best, ["v", "hub"]).select("v", "rep", F.lit(True).alias("far")), "seek")
+        left = rest.join(seek.select("v").distinct(), "v").join(seek, ["v", "rep"], "left").withColumn("far", F.coalesce("far", F.lit(False))).withColumn("comp", F.col("rep"))
+        if compared:
+            of = saved(labels(), "components").select(F.col("id").alias("rep"), "component")
+            left = left.drop("comp").join(bounded(of), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        left = saved(left, "left")
+        mixed = left.groupBy("v").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("v")
+        lists = saved(left.join(mixed, "v").drop("comp"), "lists")
+        discard(hubs, judged, far, rest, apart, seek, left)
+        if lists.isEmpty():
+            break
         step += 1
+    if not compared:
+        return None
+    deltas = saved(reduce(DataFrame.union, compared).where("open"), "deltas")
+    of = saved(labels(), "components")
+    more = links_by_difference(deltas, of, percent)
+    links = of.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return links if more is None else links.union(more)
+
+
+def _documents(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """doc_id, the row key, n_shingles, component_id, and keeper: whether the row is the one of its component that stays."""
+    rows = saved(_rows(docs, shingle_words), "sketches")
+    key = ["n_shingles", "s1", "s2"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))  # rows without a doc_id come last
+    classes = saved(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("rep"), first.alias("first")), "classes")
+    of = rows.select(F.col("row").alias("rep"), *KEY, F.col("n_shingles").alias("n"), "sketch").join(classes.select("rep"), "rep", "left_semi")
+    reps = saved(of, "reps")
+    links = _links(saved(_lists(reps, percent).withColumn("far", F.lit(True)), "lists"), reps, docs, shingle_words, percent)
+    labelled = classes.withColumn("component", F.col("rep"))
+    if links is not None:
+        labels = saved(components(links).withColumnRenamed("id", "rep"), "components")
+        labelled = classes.join(bounded(labels), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = labelled.groupBy("component").agg(F.min("first").alias("least"))
+    labelled = saved(labelled.join(least, "component").select(*key, "least"), "labels")
+    out = rows.select("row", "doc_id", *KEY, *key).join(labelled, key, "left")
+    mine = F.col("n_shingles") == 0
+    return out.select("doc_id", *KEY, "n_shingles", F.when(mine, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (mine | (F.col("least.row") == F.col("row"))).alias("keeper"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach, its own included), kept (doc_id = component_id): a row
     per document. Documents are linked if 100 * intersection >= percent * union of their shingle sets."""
-    rows = saved(_rows(docs, shingle_words), "sketches")
-    key = ["n_shingles", "k1", "k2"]
-    classes = saved(rows.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    of = rows.select("doc_id", F.col("n_shingles").alias("n"), "sketch").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = saved(of.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "reps")
-    links = _links(_lists(reps, percent), reps, docs, shingle_words, percent)
-    labels = components(links).withColumnRenamed("id", "rep")
-    classes = saved(classes.join(labels, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id")), "labels")
-    out = rows.select("doc_id", *key).join(classes, key, "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = _documents(docs, shingle_words, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), F.col("keeper")).otherwise(F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the least doc_id, and every unlinked one, in their own columns."""
-    return without(docs, near_duplicates(docs, shingle_words, percent).where("not kept"))
+    """One row of each component, one with the least doc_id, and every unlinked row, in their own columns."""
+    rows = _documents(docs, shingle_words, percent).groupBy(*KEY).agg(F.max("keeper").alias("stays"), F.count("*").alias("n"))
+    rows = saved(rows, "verdicts")
+    left = without(docs, rows.where("not stays"), "doc_id", "text")
+    return thinned(left, rows.where("stays and n > 1"), "doc_id", "text")

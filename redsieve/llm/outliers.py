@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redsieve.llm.common import saved, without
+from redsieve.llm.common import KEY, row_key, saved, without
 from redsieve.llm.textstats import base_failed, with_statistics
 
 #: Words of the language's own mean that are added to a document's, so that short documents don't stand out by chance.
@@ -22,6 +22,8 @@ PRIOR_WORDS = 100
 FLOORS = {"x_length": 0.25, "x_word": 0.15, "x_symbol": 0.04, "x_punct": 0.015, "x_upper": 0.02}
 #: Median of chi-squared with as many degrees of freedom as there are statistics.
 CHI2_MEDIAN = 4.351
+#: What a verdict depends on, besides the other documents.
+JUDGED = ("doc_id", "text", "lang", "source")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_punct")
 
 
@@ -30,8 +32,8 @@ def _key(name: str) -> Column:
 
 
 def statistics_table(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: doc_id, the group keys, the counts and base_failed."""
-    return with_statistics(docs.select("doc_id", "text", "lang", "source")).select("doc_id", _key("lang").alias("_lang"), _key("source").alias("_source"), *COUNTS).withColumn("base_failed", base_failed())
+    """One narrow row per document: doc_id, the row key, the group keys, the counts and base_failed."""
+    return with_statistics(docs.select("doc_id", "text", "lang", "source", *row_key(*JUDGED))).select("doc_id", *KEY, _key("lang").alias("_lang"), _key("source").alias("_source"), *COUNTS).withColumn("base_failed", base_failed())
 
 
 def _vectors(counts: DataFrame) -> DataFrame:
@@ -120,19 +122,23 @@ def _calibrated(v: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
     return saved(fit.join(scale, "_g"), "mcd-final", files=1)
 
 
-def outlier_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 60, cut: float = 45.0) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (squared, null where it isn't judged) and kept, a row per document of ``docs``.
-
-    share: part of a group whose covariance is taken; cut: largest squared distance that stays."""
+def _verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 60, cut: float = 45.0) -> DataFrame:
     names = list(FLOORS)
     v = saved(_pooled(_vectors(saved(statistics_table(docs), "statistics")), min_rows), "vectors")
     fit = _start(v, names)
     for _ in range(steps):
         fit = _step(v, fit, names, share)
     judged = _distance(v, _calibrated(v, fit, names), names).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") / F.col("_scale")))
-    return judged.select("doc_id", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))
+    return judged.select("doc_id", *KEY, *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))
+
+
+def outlier_verdicts(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, the counts, base_failed, distance (squared, null where it isn't judged) and kept, a row per document of ``docs``.
+
+    share: part of a group whose covariance is taken; cut: largest squared distance that stays."""
+    return _verdicts(docs, **parameters).drop(*KEY)
 
 
 def without_outliers(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that stay, in their own columns; doc_id is taken to be unique, and those without one stay."""
-    return without(docs, outlier_verdicts(docs, **parameters).where("not kept"))
+    """The rows that stay, in their own columns: each by its own verdict, also where rows repeat a doc_id or have none."""
+    return without(docs, _verdicts(docs, **parameters).where("not kept"), *JUDGED)

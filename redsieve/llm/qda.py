@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redsieve.llm.common import saved, without
+from redsieve.llm.common import KEY, row_key, saved, without
 from redsieve.llm.textstats import with_statistics
 
 #: Words, characters or lines that are added to what a rate is a part of, so that short texts get no extreme rates.
@@ -87,17 +87,21 @@ def fit(rows: DataFrame, d: int, shrinkage: float, floor: float) -> Discriminant
     return Discriminant(math.log(n[1] / n[0]), factors)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.05, floor: float = 0.01, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted: a row per document, learnt from the labelled documents that aren't held out."""
+def _scored(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.05, floor: float = 0.01, threshold: float = 0.7) -> DataFrame:
     x = features()
-    rows = saved(with_statistics(docs.select("doc_id", "text")).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in x]).alias("x")), "qda")
+    counts = with_statistics(docs.select("doc_id", "text", *row_key("doc_id", "text")))
+    rows = saved(counts.select("doc_id", *KEY, F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in x]).alias("x")), "qda")
     model = fit(rows.where("not held_out").join(labels.select("doc_id", "quality"), "doc_id"), len(x), shrinkage, floor)
     odds = model.log_odds([F.col("x")[i] for i in range(len(x))])
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds))))
-    return rows.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.select("doc_id", *KEY, "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """doc_id, held_out, score, predicted: a row per document, learnt from the labelled documents that aren't held out."""
+    return _scored(docs, labels, **parameters).drop(*KEY)
 
 
 def without_low_quality(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The documents that are predicted to be of quality 1, in their own columns; doc_id is taken to be unique, and those
-    without one stay."""
-    return without(docs, quality_scores(docs, labels, **parameters).where("predicted = 0"))
+    """The rows that are predicted to be of quality 1, in their own columns: each by its own text."""
+    return without(docs, _scored(docs, labels, **parameters).where("predicted = 0"), "doc_id", "text")
