@@ -13,11 +13,12 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "t
 #: An element doesn't close those outside the nearest of these.
 HOLDERS = frozenset("ul ol dl table select article aside section main nav header footer div form body html td th blockquote".split())
 _KEEP_P = frozenset("html head body".split())
+_P = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
 #: What may open in a head without ending it; other elements, and text, end it. The rest of a head's elements have no node.
-_IN_HEAD = frozenset("html head noframes".split())
+_IN_HEAD = frozenset("html head noframes noscript".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|title|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?(?:>.*?(?:</\1\s*+>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|template|textarea|title|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?(?:>.*?(?:</\1\s*+>|\Z)|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
@@ -48,9 +49,25 @@ def parse(page: str) -> Tree:
     the page cuts off is dropped."""
     tree = Tree([Node("#root", -1, [])])
     open_ = [0]
+    places: dict[str, list[int]] = {}  # of open elements by tag, in open_
+    holders = [0]  # places of open holders
     run: list[str] = []
     linked, link_depth = 0, False
 
+    def push(node: Node) -> None:
+        tree.nodes.append(node)
+        places.setdefault(node.tag, []).append(len(open_))
+        if node.tag in HOLDERS:
+            holders.append(len(open_))
+        open_.append(len(tree.nodes) - 1)
+
+    def leave(place: int) -> None:
+        """Closes the element at ``place`` and all within."""
+        while len(open_) > place:
+            places[tree.nodes[open_.pop()].tag].pop()
+        while holders[-1] >= place > 0:
+            holders.pop()
+
     def text(raw: str) -> None:
         nonlocal linked
         if raw:
@@ -60,7 +77,7 @@ def parse(page: str) -> Tree:
 
     def leave_head() -> None:
         if tree.nodes[open_[-1]].tag == "head":
-            open_.pop()
+            leave(len(open_) - 1)
 
     def flush() -> None:
         nonlocal linked, link_depth
@@ -76,19 +93,22 @@ def parse(page: str) -> Tree:
         linked, link_depth = 0, False
 
     def close(tags: tuple[str, ...]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            tag = tree.nodes[open_[k]].tag
-            if tag in tags:
-                del open_[k:]
-                return
-            if tag in HOLDERS:
-                return
-
-    at = 0
+        """Closes the nearest open element of these, unless a holder that isn't one stands within it."""
+        place = max((places[t][-1] for t in tags if places.get(t)), default=0)
+        if place and place >= holders[-1]:
+            leave(place)
+
+    at, unseen = 0, False  # unseen: within the noscript of a head, whose content a browser doesn't show
     for m in _TOKEN.finditer(page):
+        tag = m[3]
+        if unseen:
+            at = m.end()
+            unseen = not tag or (m[2] + tag).lower() not in ("/noscript", "/head", "body")
+            if unseen or tag.lower() == "noscript":
+                continue
+            at = m.start()
         text(page[at : m.start()])
         at = m.end()
-        tag = m[3]
         if not tag:
             if m[0][:2] not in ("<!", "<?"):
                 run.append(" ")  # a script or the like is no part of a word
@@ -105,21 +125,22 @@ def parse(page: str) -> Tree:
                 run.append(" ")
             continue
         flush()
+        if tag == "noscript" and not m[2] and tree.nodes[open_[-1]].tag == "head":
+            unseen = True
+            continue
         if m[2]:
-            for k in range(len(open_) - 1, 0, -1):
-                if tree.nodes[open_[k]].tag == tag:
-                    del open_[k:]
-                    break
+            if places.get(tag):
+                leave(places[tag][-1])
             continue
         if tag not in _IN_HEAD:
             leave_head()
         if tag not in _KEEP_P:
-            close(("p", "h1", "h2", "h3", "h4", "h5", "h6"))
+            close(_P)
         if tag in CLOSES:
             close(CLOSES[tag])
         hints = [w for h in _HINT.findall(m[4]) for w in _NAME.findall("".join(h).lower())] if m[4] else []
-        tree.nodes.append(Node(tag, open_[-1], hints))
-        open_.append(len(tree.nodes) - 1)
-    text(page[at:])
+        push(Node(tag, open_[-1], hints))
+    if not unseen:
+        text(page[at:])
     flush()
     return tree

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -21,6 +22,8 @@ from redsieve.llm.queries import ORACLES, QUERIES
 from tests.llm.conftest import CLASHES
 
 PAGE = "page_id long, url string, html string"
+#: How much slower this machine may be than the one of the bounds of time in these tests.
+PACE = 3
 BIG = "<p>" + "long text " * 20_000
 
 
@@ -173,6 +176,23 @@ def test_broken_pages(model, page):
     assert isinstance(extraction.main_text(page, model), str)
 
 
+@pytest.mark.parametrize("page", ["<foo>" * 200_000, "<div>" * 100_000 + "</foo></div></p>" * 100_000, "<div>" * 100_000 + "</span></bar>" * 100_000, "<td><p>" * 100_000, "<li><ul>" * 100_000 + "</li>" * 100_000])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    dom.parse(page)
+    assert time.process_time() - began < 2 * PACE
+
+
+def test_noscript():
+    """Shown where it stands among the blocks, unseen in a head."""
+    texts = lambda page: [t for _, t in dom.parse(page).blocks]
+    assert texts("<body><article><p>a</p><noscript><p>b</p></noscript><p>c</p></article>") == ["a", "b", "c"]
+    assert texts("<head><noscript><p>b</p></noscript><title>t</title></head><body><p>c") == ["c"]
+    assert texts("<head><noscript><p>b</p><body>x<p>c") == ["x", "c"]
+    assert texts("<head><noscript><p>b</p></head>x<p>c") == ["x", "c"]
+    assert texts("<head><noscript><p>b</p>") == []
+
+
 def test_extract(spark, sf_dir, odd, empty, model):
     rows = {r.page_id: r for r in QUERIES["op6_tree_marginals"](spark, sf_dir).collect()}
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
