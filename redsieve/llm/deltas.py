@@ -54,7 +54,7 @@ def _survivors(deltas: DataFrame, members: DataFrame, percent: int) -> DataFrame
 
 
 def _prefixes(deltas: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """hub, d and x (rep, comp, apart, n, most: elements that it can share with another, mixed, weight) for the rarest mixed elements of each member."""
+    """hub, d, at (its place among the mixed elements of the member, the rarest first) and x (rep, comp, apart, n, most: elements that it can share with another, mixed, weight) for the rarest mixed elements of each member."""
     both = F.concat(F.transform("more", lambda d: F.struct(d.alias("d"), F.lit(True).alias("own"))), F.transform("less", lambda d: F.struct(d.alias("d"), F.lit(False).alias("own"))))
     entries = deltas.select("hub", "rep", both.alias("both")).join(members.select("hub", "rep", "comp", "apart"), ["hub", "rep"])
     entries = saved(entries.select("hub", "rep", "comp", "apart", F.explode("both").alias("e")).select("hub", "rep", "comp", "apart", "e.d", "e.own"), "entries")
@@ -67,18 +67,19 @@ def _prefixes(deltas: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     m = m.withColumn("take", F.size("common") - F.greatest(shared, F.lit(1)).cast("int") + 1).where("take > 0")
     m = m.withColumns({"most": F.col("kept") + F.col("own"), "mixed": F.size("common")})
     x = F.struct("rep", "comp", "apart", "n", "most", "mixed", "weight")
-    out = saved(m.select("hub", x.alias("x"), F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c")).select("hub", F.col("c.d").alias("d"), "x"), "prefixes")
+    out = saved(m.select("hub", x.alias("x"), F.posexplode(F.slice("common", F.lit(1), F.col("take"))).alias("at", "c")).select("hub", F.col("c.d").alias("d"), "at", "x"), "prefixes")
     discard(entries, mixed)
     return out
 
 
 def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
     """a < b, and one hub of both, of the pairs that share an element of their prefixes and that nothing rules out."""
-    a = prefixes.where("x.apart").withColumnRenamed("x", "y")
+    a = prefixes.where("x.apart").withColumnRenamed("x", "y").withColumnRenamed("at", "there")
     x, y = (lambda f: F.col(f"x.{f}")), (lambda f: F.col(f"y.{f}"))
     fits = (x("comp") != y("comp")) & (~x("apart") | (x("rep") > y("rep")))
     enough = F.least(x("most"), y("most")) * (100 + percent) >= (x("n") + y("n")) * percent
-    shared = x("weight") + y("weight") <= F.least(x("mixed"), y("mixed")) * 2 * (100 + percent)
+    # the first element that a pair has in common has no more after it than the shorter rest
+    shared = x("weight") + y("weight") <= F.least(x("mixed") - F.col("at"), y("mixed") - F.col("there")) * 2 * (100 + percent)
     pairs = a.join(prefixes, (a["hub"] == prefixes["hub"]) & (a["d"] == prefixes["d"]) & fits & enough & shared)
     return pairs.select(a["hub"], F.least(x("rep"), y("rep")).alias("a"), F.greatest(x("rep"), y("rep")).alias("b")).groupBy("a", "b").agg(F.min("hub").alias("hub"))
 

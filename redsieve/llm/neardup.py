@@ -36,6 +36,8 @@ from redsieve.llm.deltas import linked, links_by_difference
 SKETCH = 64
 #: Chance that a sketch tells wrongly that two sets are below a bound when they are just at it.
 MISS = 2e-8
+#: Longs of a bitmap of a sketch, 64 bits each.
+MAP = 8
 #: Sketches that may be broadcast, half a kilobyte each.
 MOST_SKETCHES = 20_000
 
@@ -96,11 +98,46 @@ def _hubs(lists: DataFrame, parts: int) -> DataFrame:
     return part.where("hub is not null").select("v", "hub").join(each.select("v", ((F.col("f") > F.col("hubs")) & (F.col("m") > F.col("hubs") + 1)).alias("open")), "v")
 
 
+def _bits() -> list[Column]:
+    """The longs of a bitmap of the retained values."""
+    one = lambda v: F.call_function("shiftleft", F.lit(1).cast("bigint"), v.bitwiseAND(63).cast("int"))
+
+    def long(j: int) -> Column:
+        return F.aggregate("sketch", F.lit(0).cast("bigint"), lambda m, v: F.when(F.pmod(F.shiftrightunsigned(v, 6), F.lit(MAP)) == j, m.bitwiseOR(one(v))).otherwise(m))
+
+    return [long(j).alias(f"m{j}") for j in range(MAP)]
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` with ``possible``: whether sizes and bitmaps of the sketches allow them to be near (see _judged)."""
+    ids = saved(pairs.select("rep").union(pairs.select("hub")).distinct(), "ids")
+    narrow = saved(reps.join(bounded(ids), "rep", "left_semi").select("rep", "n", *_bits()), "bitmaps")
+    hubs = narrow.select(F.col("rep").alias("hub"), F.col("n").alias("nh"), *[F.col(f"m{j}").alias(f"h{j}") for j in range(MAP)])
+    j = pairs.join(narrow, "rep").join(hubs, "hub")
+    bar, shared = _bars(percent)
+    apart = sum((F.bit_count(F.col(f"m{j}").bitwiseXOR(F.col(f"h{j}"))) for j in range(MAP)), F.lit(0))
+    kept = F.least("n", F.lit(SKETCH)) + F.least("nh", F.lit(SKETCH))
+    whole = (F.col("n") <= SKETCH) & (F.col("nh") <= SKETCH)
+    # of sets that the sketches hold whole, the symmetric difference itself is bounded
+    fits = F.when(whole, (kept - apart) * 100 >= (kept + apart) * bar).otherwise(kept - apart >= 2 * shared)
+    out = saved(j.select("hub", "rep", "open", ((F.least("n", "nh") * 100 >= F.greatest("n", "nh") * bar) & fits).alias("possible")), "possible")
+    discard(ids, narrow)
+    return out
+
+
+def _bars(percent: int) -> tuple[Column, Column]:
+    """The least Jaccard, in percent, of pairs to be looked at, and how many values of the union's sketch both sets hold then."""
+    far = max(0, 2 * percent - 100)
+    of = lambda wide, strict: F.when(F.col("open"), F.lit(wide)).otherwise(F.lit(strict))
+    return of(far, percent), of(least_shared(SKETCH, far / 100), least_shared(SKETCH, percent / 100))
+
+
 def _judged(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """hub, rep, open and near of each pair: whether sizes and the sketch of the union leave it open that they are linked, or, for
     pairs of open lists, that their Jaccard reaches 1 less twice the distance of linked sets."""
-    bar = F.when(F.col("open"), F.lit(max(0, 2 * percent - 100))).otherwise(F.lit(percent))
-    shared = F.when(F.col("open"), F.lit(least_shared(SKETCH, max(0, 2 * percent - 100) / 100))).otherwise(F.lit(least_shared(SKETCH, percent / 100)))
+    bar, shared = _bars(percent)
+    every = _possible(pairs, reps, percent)
+    pairs = every.where("possible").drop("possible")
     ids = saved(pairs.select("rep").union(pairs.select("hub")).distinct(), "ids")
     hubs = saved(pairs.select("hub").distinct(), "hub-ids")
     narrow = reps.select("rep", "n", "sketch")
@@ -111,9 +148,9 @@ def _judged(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     sample = F.when(whole, union).otherwise(F.slice(union, 1, SKETCH))
     both = F.size(F.array_intersect(F.array_intersect("sketch", "sh"), sample))
     near = F.when(whole, both * 100 >= F.size(sample) * bar).otherwise(both >= shared)
-    sizes = F.least("n", "nh") * 100 >= F.greatest("n", "nh") * bar
-    out = saved(j.select("hub", "rep", "open", (sizes & near).alias("near")), "judged")
-    discard(ids, hubs, of_hubs)
+    rest = every.where("not possible").select("hub", "rep", "open", F.lit(False).alias("near"))
+    out = saved(j.select("hub", "rep", "open", near.alias("near")).unionByName(rest), "judged")
+    discard(ids, hubs, of_hubs, every)
     return out
 
 
@@ -123,13 +160,14 @@ def _compared(near: DataFrame, docs: DataFrame, keys: DataFrame, size: int, perc
     ids = saved(near.select("rep").union(near.select("hub")).distinct(), "ids")
     wanted = saved(keys.join(bounded(ids), "rep", "left_semi").select("rep", *KEY), "wanted")
     texts = docs.select(*row_key("doc_id", "text"), text_of().alias("_t")).join(bounded(wanted), list(KEY))
-    sets = texts.select("rep", shingle_set(F.col("_t"), size).alias("set")).groupBy("rep").agg(F.first("set").alias("set"))  # rows that are alike
-    sets = saved(sets, "sets")
+    sets = saved(texts.select("rep", shingle_set(F.col("_t"), size).alias("set")), "sets")
     hubs = saved(near.select("hub").distinct(), "hub-ids")
     of_hubs = saved(sets.join(bounded(hubs.withColumnRenamed("hub", "rep")), "rep", "left_semi").select(F.col("rep").alias("hub"), F.col("set").alias("hs")), "hub-sets")
-    j = near.join(sets, "rep").join(of_hubs, "hub")
+    j = sets.join(bounded(near), "rep").join(of_hubs, "hub")
     j = j.select("hub", "rep", "open", F.size("set").alias("n"), F.size("hs").alias("nh"), F.array_except("set", "hs").alias("more"), F.array_except("hs", "set").alias("less"))
     out = saved(j.withColumn("linked", linked(F.col("n") + F.col("nh"), F.size("more") + F.size("less"), percent)), "compared")
+    if out.count() > near.count():  # rows that are alike have one key, and so gave their set each
+        out = saved(out.dropDuplicates(["hub", "rep"]), "compared")
     discard(ids, wanted, sets, hubs, of_hubs)
     return out
 
@@ -148,7 +186,7 @@ def _links(lists: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
         met = lists.join(hubs, "v").where("rep <> hub")
         pairs = saved(met.groupBy("hub", "rep").agg(F.max("open").alias("open")), "pairs")
         judged = _judged(pairs, reps, percent)
-        near = judged.where("near").select("hub", "rep", "open")
+        near = saved(judged.where("near").select("hub", "rep", "open"), "near")
         discard(pairs)
         linked_here = None
         if not near.isEmpty():
