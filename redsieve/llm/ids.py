@@ -22,7 +22,7 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
 #: Parts that a worker keeps, and the longest of them.
-MOST_PARTS = 500_000
+MOST_PARTS = 1_000_000
 LONGEST_PART = 48
 
 _made: dict[str, Encoder] = {}

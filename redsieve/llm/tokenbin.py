@@ -1,7 +1,7 @@
 """Token ids in binary shards compressed by Re-Pair.
 
 Documents are dealt to shards by ranges of doc_id. In a shard, the most frequent pairs of ids are replaced by nonterminals, again
-and again, until no pair is left that is frequent: each round counts all adjacent pairs, gives nonterminals to the most frequent and
+and again, until no pair is left that is frequent: each round counts adjacent pairs, gives nonterminals to the most frequent and
 replaces them from left to right.
 No pair reaches over the end of a document, so a document's symbols can be decoded alone, and the stored expansion lengths give
 the place of any id without decoding those before it.
@@ -33,25 +33,22 @@ from redsieve.llm.ids import encoder
 MAGIC = b"REPAIR01"
 _HEAD = struct.Struct("<8s9Q")
 
-#: Ids of a shard, nonterminals a round, and the least count of a pair that gets one.
+#: Ids of a shard, about.
 SHARD_IDS = 1 << 21
-PAIRS = 4000
-LEAST = 8
+#: The least count of a pair that gets a nonterminal: a rule and its length take twelve bytes, each place that it shortens saves two.
+LEAST = 7
+#: Nonterminals of a round, and bits of the places of its table of pairs.
+MOST_NEW, SLOTS = 12_000, 19
 #: Ids of the vocabulary: nonterminals come after them.
 VOCABULARY = 49408
 
 
-def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The ``most`` keys that occur most often, ``least`` times at least, ascending; of keys as frequent, the smaller ones."""
+def _counted(keys: np.ndarray, nothing: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys but ``nothing``, which is the largest, and how often each occurs."""
     s = np.sort(keys)
+    s = s[: np.searchsorted(s, nothing)]
     starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
-    n = np.diff(starts, append=len(s))
-    found, n = s[starts[n >= least]], n[n >= least]
-    if len(found) <= most:
-        return found
-    bar = np.partition(n, -most)[-most]
-    above = found[n > bar]
-    return np.sort(np.concatenate([above, found[n == bar][: most - len(above)]]))
+    return s[starts], np.diff(starts, append=len(s))
 
 
 def _every_second(at: np.ndarray) -> np.ndarray:
@@ -61,50 +58,85 @@ def _every_second(at: np.ndarray) -> np.ndarray:
     return (np.arange(len(at)) - start) % 2 == 0
 
 
-def _found(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the ``chosen`` among ``keys``, and which of them stands there. A table of bits leaves few others to look up."""
-    bits = lambda k: (k * k.dtype.type(0x9E3779B1)) >> k.dtype.type(8 * k.itemsize - 16)
-    table = np.zeros(1 << 16, dtype=bool)
-    table[bits(chosen)] = True
-    places = np.flatnonzero(table[bits(keys)])
-    which = np.minimum(np.searchsorted(chosen, keys[places]), len(chosen) - 1)
-    hit = chosen[which] == keys[places]
-    return places[hit], which[hit]
+def _found(keys: np.ndarray, chosen: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the ``chosen`` among ``keys``, which of them stands there, and whether all were sought. Each has a slot of a table;
+    of those that would share one, only the last is sought."""
+    kind = keys.dtype.type
+    slots = lambda k: (k * kind(0x9E3779B1 + 2 * salt)) >> kind(8 * keys.itemsize - SLOTS)
+    owner, held = np.full(1 << SLOTS, -1, dtype=np.int32), np.full(1 << SLOTS, np.iinfo(keys.dtype).max, dtype=keys.dtype)
+    own = slots(chosen)
+    owner[own], held[own] = np.arange(len(chosen)), chosen
+    at = slots(keys)
+    places = np.flatnonzero(held[at] == keys)
+    which = owner[at[places]]
+    sought = int((owner[own] == np.arange(len(chosen))).sum()) == len(chosen)
+    real = which >= 0  # an empty slot holds the key of nothing
+    return places[real], which[real], sought
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, rounds: int | None = None, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """symbols, offsets of the documents in them, rules. ends: the place after each document's last id.
-    rounds: as many as there are frequent pairs for, by default."""
-    small = first < (1 << 16) - 1  # as long as symbols are within two bytes, a pair is one number of four
-    s = ids
-    last = np.zeros(len(s), dtype=bool)
-    last[ends - 1] = True
-    rules: list[np.ndarray] = []
-    n_rules = 0
-    done = 0
-    while rounds is None or done < rounds:
-        small = small and n_rules < (1 << 16) - 1 - first
-        kind, shift = (np.uint32, np.uint32(16)) if small else (np.uint64, np.uint64(32))
-        nothing = np.iinfo(kind).max  # stands for a pair over the end of a document; no pair has it, as the last symbol is left out
-        most = (1 << 16) - 1 - first if small else 1 << 31
-        s = s.astype(kind)
-        keys = np.where(last[:-1], nothing, (s[:-1] << shift) | s[1:])
-        chosen = _frequent(keys[~last[:-1]], min(pairs, most - n_rules), least)
+
+    Within, the ids that occur are numbered one after the other and nonterminals follow, so that most shards' pairs are numbers of
+    four bytes. Rounds take the pairs of a count over a bar, which falls to a quarter each time; a rule that is replaced less than
+    ``least`` times, as its places are taken by others, is left out of its round. Once every frequent pair has been replaced, only pairs
+    with a symbol of the last round can be frequent, and only those are counted."""
+    used = np.flatnonzero(np.bincount(ids, minlength=1)).astype(np.uint32)
+    number = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=np.uint32)
+    number[used] = np.arange(len(used))
+    base = len(used)
+    s, ends, rules, n_rules = number[ids], np.asarray(ends, dtype=np.int64), [], 0
+    bar, settled, new = None, False, base  # new: the first symbol of the last round
+    salt = 0
+    while True:
+        wide = base + n_rules + min(len(s), MOST_NEW) >= 1 << 16
+        kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
+        s, nothing, salt = s.astype(kind, copy=False), np.iinfo(kind).max, salt + 1
+        if settled:
+            at = np.flatnonzero(s >= new)
+            at = np.unique(np.concatenate([at - 1, at]))
+            at = at[(at >= 0) & (at < len(s) - 1)]
+            keys = (s[at] << kind(shift)) | s[at + 1]
+            inside = np.searchsorted(ends, at + 1)
+            keys[ends[np.minimum(inside, len(ends) - 1)] == at + 1] = nothing
+        else:
+            at = None
+            keys = (s[:-1] << kind(shift)) | s[1:]
+            keys[ends[:-1] - 1] = nothing
+        found, n = _counted(keys, nothing)
+        if bar is None:
+            bar = max(least, int(n.max(initial=0)) // 4)
+        while bar > least and not (n >= bar).any():
+            bar = max(least, bar // 4)
+        chosen, count = found[n >= bar], n[n >= bar]
+        complete = bar == least and len(chosen) <= MOST_NEW
+        if len(chosen) > MOST_NEW:
+            chosen = np.sort(chosen[np.argsort(-count, kind="stable")[:MOST_NEW]])
         if not len(chosen):
             break
-        places, which = _found(keys, chosen)
+        places, which, sought = _found(keys, chosen, salt)
+        places = places if at is None else at[places]
         keep = _every_second(places)
         places, which = places[keep], which[keep]
-        s[places] = which.astype(kind) + kind(first + n_rules)
-        last[places] = last[places + 1]
+        often = np.bincount(which, minlength=len(chosen)) >= least
+        if not often.any():
+            often[:] = np.bincount(which, minlength=len(chosen)) > 0
+        renumbered = np.cumsum(often) - 1
+        keep = often[which]
+        places, which = places[keep], renumbered[which[keep]]
+        settled = complete and sought and bool(often.all())
+        new = base + n_rules
+        s[places] = which.astype(kind) + kind(new)
         stay = np.ones(len(s), dtype=bool)
         stay[places + 1] = False
-        s, last = s[stay], last[stay]
-        rules.append(np.stack([chosen >> shift, chosen & kind((1 << int(shift)) - 1)], axis=1).astype(np.uint32))
+        s, ends = s[stay], ends - np.searchsorted(places, ends)
+        chosen = chosen[often]
+        rules.append(np.stack([chosen >> kind(shift), chosen & kind((1 << shift) - 1)], axis=1).astype(np.uint32))
         n_rules += len(chosen)
-        done += 1
-    offsets = np.concatenate([[0], np.flatnonzero(last) + 1]).astype(np.uint64)
-    return s, offsets, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
+        bar = max(least, bar // 4)
+    back = np.concatenate([used, first + np.arange(n_rules, dtype=np.uint32)]).astype(np.uint32)
+    offsets = np.concatenate([[0], ends]).astype(np.uint64)
+    return back[s], offsets, back[np.concatenate(rules)] if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
 def _lengths(rules: np.ndarray, first: int) -> np.ndarray:
