@@ -5,7 +5,7 @@ bins in one state are one group with a range of sequence numbers, and a step put
 that fits best. From the long to the short, each piece goes to the feasible group whose residual vector after it has the least
 weighted norm (or whose residual has the largest weighted dot product with the piece's vector). What comes out is a table of
 runs, whose size depends on the capacity and not on the number of documents; the rank of a piece among those of its length finds
-its run. Ranks come from counts by hash bucket and length, so a length that a third of all pieces have is ranked in parts.
+its run. Ranks come from counts by length and bucket of row numbers, so a length that a third of all pieces have is ranked in parts.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1. Rows that repeat a doc_id are packed each on its
 own, and so are rows with a null doc_id. Texts longer than a sequence are cut into whole sequences, of which the first may be
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from redsieve.llm.common import saved, text_of
 from redsieve.llm.ids import encoder
 
+#: What the residuals of tokens, documents and cost, as parts of their capacities, count in a sequence's choice.
+WEIGHTS = (1.0, 1.0, 1.0)
 #: Pieces that are ranked together at most, about.
 BUCKET = 50_000
 
@@ -51,7 +53,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
     return docs.select("doc_id", text_of().alias("_t")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan_runs(counts: dict[int, int], capacities: tuple[int, int, int], rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.001, 0.001)) -> np.ndarray:
+def plan_runs(counts: dict[int, int], capacities: tuple[int, int, int], rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> np.ndarray:
     """Rows of length, first rank, number, first sequence, offset: ``number`` pieces of that length, from that rank on, go to as
     many sequences from that one on, at that offset. Each of capacities (tokens, documents, cost) holds in every sequence."""
     cap = np.array(capacities, dtype=np.int64)
@@ -101,18 +103,18 @@ def plan_runs(counts: dict[int, int], capacities: tuple[int, int, int], rule: st
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``_rank``, the place of each among the rows of its length, from 0."""
+    """``rows`` with ``_rank``, the place of each among the rows of its length, from 0. _id: a number of the row, written with it."""
     buckets = max(1, rows.count() // BUCKET)
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = saved(counts.select("length", "_b", F.coalesce(before, F.lit(0)).alias("_before")), "offsets")
-    within = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32"))
+    within = F.row_number().over(Window.partitionBy("length", "_b").orderBy("_id"))
     return rows.withColumn("_within", within).join(offsets, ["length", "_b"]).withColumn("_rank", F.col("_before") + F.col("_within") - 1).drop("_b", "_within", "_before")
 
 
 def place(rows: DataFrame, capacities: tuple[int, int, int], rule: str = "norm") -> DataFrame:
-    """``rows``, which have a ``length`` and are a written table, with sequence_id and offset."""
+    """``rows``, which have a ``length`` and a number ``_id`` and are a written table, with sequence_id and offset."""
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row per length
     runs = plan_runs(counts, capacities, rule)
     order = np.lexsort((runs[:, 1], runs[:, 0]))
@@ -131,12 +133,14 @@ def place(rows: DataFrame, capacities: tuple[int, int, int], rule: str = "norm")
             keep = [n for n in batch.schema.names if n != "_rank"]
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in keep], *found], [*keep, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return _ranked(rows).select(*rows.columns, "_rank").mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
+    names = [c for c in rows.columns if c != "_id"]
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return _ranked(rows).select(*names, "_rank").mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, tokens: int = 2048, documents: int | None = None, cost: int | None = None, rule: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece. documents and cost: capacities of a sequence,
     by default what the token capacity allows anyway, so that sequences are as few as best fit makes them."""
     capacities = (tokens, documents or tokens, cost or tokens * tokens)
-    return place(saved(pieces(docs, vocabulary, end_id, tokens), "pieces"), capacities, rule)
+    numbered = pieces(docs, vocabulary, end_id, tokens).withColumn("_id", F.monotonically_increasing_id())
+    return place(saved(numbered, "pieces"), capacities, rule)
