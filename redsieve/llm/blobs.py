@@ -1,7 +1,7 @@
 """Binary files through Spark's own writers and readers: one file a row, committed as any table is.
 
 Executors reach the shared folder only by Spark, so a file's bytes go through the text writer (which writes a string's bytes
-as they are and ends each file with a line feed) and come back through the binary reader."""
+as they are and ends each file with a separator) and come back through the binary reader."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_blobs(rows: DataFrame, column: str, path: str, compression: str = "none") -> None:
-    """Each row's bytes as a file of its own under ``path``, followed by a line feed."""
-    rows.select(F.col(column).cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", compression).text(path)
+def write_blobs(rows: DataFrame, column: str, path: str, end: bytes = b"\n") -> None:
+    """Each row's bytes as a file of its own under ``path``, followed by ``end``, which can't be empty."""
+    options = {"maxRecordsPerFile": 1, "compression": "none", "encoding": "ISO-8859-1", "lineSep": end.decode("latin-1")}  # the encoding is that of lineSep alone
+    rows.select(F.col(column).cast("string").alias("value")).write.options(**options).text(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """content: the bytes of each file as they are, compressed or not, with the line feed."""
+    """content: the bytes of each file as they are, with its end."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")

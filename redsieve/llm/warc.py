@@ -2,24 +2,27 @@
 
 A page's record is an HTTP response whose body is its payload in chunked transfer framing. A block over ``segment`` bytes is cut
 into a first record and continuation records, which may lie in other files. Of the pages with one payload, the largest page_id
-is the response and the others are revisit records that refer to it. Reading groups the continuation records by the identifier
-of their origin, orders them by segment number, checks that none is missing and that the total length is right, and decodes the
-framing. Only segments are shuffled; whole records are decoded where they are read.
+is the response and the others are revisit records whose WARC-Refers-To is the record id of that response. Each record is a gzip
+member of its own. Reading groups the continuation records by the identifier of their origin, orders them by segment number, checks
+that none is missing and that the total length is right, decodes the framing, and finds the record that each revisit refers to.
+Only segments are shuffled; whole records are decoded where they are read.
 
 Files are written by Spark's committer, each from a bounded number of bytes. Defined results: a null or empty html is an empty
-payload, always a response. Rows that repeat a page_id are written each; where they are the response, each is one. A row with a
-null page_id is a response and no other row refers to it. An empty table gives no archives and an empty result."""
+payload, always a response. Rows that repeat a page_id are written each; where they are the response, each is one, and revisits
+refer to the first by URL. A row with a null page_id is a response and no other row refers to it. An empty table gives no archives
+and an empty result."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redsieve.llm.blobs import read_blobs, write_blobs
@@ -33,6 +36,14 @@ SEGMENT = 16_384
 CHUNK = 4_096
 FILE = 8 << 20
 
+#: Name space of record ids, and the field, an extension, that holds a page's id.
+_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "https://example.org/page-records")
+PAGE_FIELD = "Page-ID"
+#: A gzip member of no bytes, which ends each file.
+_END = zlib.compress(b"", 6, wbits=31)
+#: Bytes that are decompressed at once.
+_WINDOW = 1 << 16
+
 _DATE = "2024-01-01T00:00:00Z"  # archives of the same pages are the same bytes
 
 
@@ -62,38 +73,43 @@ def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def records(number: int, page_id: int | None, url: str | None, payload: bytes, original: int | None, sha1: str, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page; ``number`` tells apart the rows of a file that have one page_id."""
-    name = lambda p, k="": f"<urn:page:{'null' if p is None else p}{k}>"
+def record_id(*of: object) -> str:
+    return f"<{uuid.uuid5(_SPACE, ' '.join(map(str, of))).urn}>"
+
+
+def records(own_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: str | None, sha1: str, segment: int = SEGMENT) -> list[bytes]:
+    """The records of one page: a revisit if ``refers_to`` is a record's id, else a response."""
     digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
     target = re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     common = [("WARC-Date", _DATE), ("WARC-Target-URI", target)]
-    own = f":{number}"
-    if original is not None:
+    page = [] if page_id is None else [(PAGE_FIELD, str(page_id))]
+    if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", name(page_id, own)), *common, ("WARC-Refers-To", name(original)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", digest)]
+        fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", own_id), *common, *page, ("WARC-Refers-To", refers_to), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Digest", digest)]
         return [_record(fields, block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    fields = [("WARC-Type", "response"), ("WARC-Record-ID", name(page_id, own)), *common, ("WARC-Payload-Digest", digest)]
+    fields = [("WARC-Type", "response"), ("WARC-Record-ID", own_id), *common, *page, ("WARC-Payload-Digest", digest)]
     if len(block) <= segment:
         return [_record(fields, block)]
     parts = [block[k : k + segment] for k in range(0, len(block), segment)]
     out = [_record([*fields, ("WARC-Segment-Number", "1")], parts[0])]
     for k, part in enumerate(parts[1:], 2):
         more = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []
-        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", name(page_id, f"{own}:{k}")), ("WARC-Segment-Origin-ID", name(page_id, own)), ("WARC-Segment-Number", str(k)), *more, *common], part))
+        out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(own_id, k)), ("WARC-Segment-Origin-ID", own_id), ("WARC-Segment-Number", str(k)), *more, *common], part))
     return out
 
 
 def _plain(data: bytes) -> bytes:
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    """``data`` with its gzip members, one after the other, decompressed."""
+    out, at = [], 0
+    while data[at : at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        if not member.eof:
-            raise ValueError("a compressed file is cut off")
-        data = member.unused_data
-    return b"".join([*out, data])
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a compressed file is cut off")
+            out.append(member.decompress(data[at : at + _WINDOW]))
+            at = min(len(data), at + _WINDOW) - len(member.unused_data)
+    return b"".join([*out, data[at:]])
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -119,20 +135,30 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def with_originals(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, bytes, sha1 and original: the page that a revisit refers to, null for responses.
+    """page_id, url, html, bytes, sha1, original (the page that a revisit refers to, null for responses) and copy: 0, or the number of
+    the row among those that repeat a page_id and a payload.
 
-    Only digests move: payloads stay with their rows."""
+    Only digests move: payloads stay with their rows, but for such repeated ones."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("sha1"))
     digests = saved(rows.where(F.col("bytes") >= REVISIT_BYTES).select("page_id", "bytes", "sha1"), "digests")
     groups = digests.groupBy("sha1", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     # a response for each group of equal payloads, which are few rows next to all pages
-    others = digests.join(groups, ["sha1", "bytes"]).where("page_id < first").select("page_id", "sha1", F.col("first").alias("original")).distinct()
-    return rows.join(bounded(saved(others, "revisits")), ["page_id", "sha1"], "left").select("page_id", "url", "html", "bytes", "sha1", "original")
+    alike = saved(digests.join(groups, ["sha1", "bytes"]).groupBy("page_id", "sha1").agg(F.first("first").alias("first"), F.count("*").alias("n")), "alike")
+    others = saved(alike.where("page_id < first").select("page_id", "sha1", F.col("first").alias("original")), "revisits")
+    rows = rows.withColumn("copy", F.lit(0))
+    again = alike.where("page_id = first and n > 1").select("page_id", "sha1")
+    if not again.isEmpty():
+        again = bounded(again)
+        number = F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url")) - 1
+        numbered = rows.join(again, ["page_id", "sha1"], "left_semi").withColumn("copy", number)
+        rows = rows.join(again, ["page_id", "sha1"], "left_anti").unionByName(numbered)
+    return rows.join(bounded(others), ["page_id", "sha1"], "left").select("page_id", "url", "html", "bytes", "sha1", "original", "copy")
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, file: int = FILE) -> None:
     """The pages of ``with_originals`` as WARC files under ``path``."""
+    columns = ("page_id", "url", "html", "bytes", "sha1", "original", "copy")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,41 +166,42 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, file: in
         task, number, size = TaskContext.get().partitionId(), 0, 0
         held: list[bytes] = []
         for batch in batches:
-            for page_id, url, html, sha1, original in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html", "sha1", "original")), strict=True):
+            for page_id, url, html, n, sha1, original, copy in zip(*(batch[c].to_pylist() for c in columns), strict=True):
                 number += 1
-                for r in records(f"{task}.{number}", page_id, url, (html or "").encode(), original, sha1, segment):
-                    held.append(r)
-                    size += len(r)
+                # others refer to the first copy, whose id they know; the other ids are of the place of the row
+                known = page_id is not None and n >= REVISIT_BYTES and original is None and not copy
+                own = record_id(page_id, sha1) if known else record_id(page_id, sha1, task, number)
+                refers_to = None if original is None else record_id(original, sha1)
+                for r in records(own, page_id, url, (html or "").encode(), refers_to, sha1, segment):
+                    held.append(zlib.compress(r, 6, wbits=31))
+                    size += len(held[-1])
                     if size >= file:
                         yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["file"])
                         held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["file"])
 
-    write_blobs(pages.select("page_id", "url", "html", "sha1", "original").mapInArrow(write, "file binary"), "file", path, compression="gzip")
-
-
-def _page(name: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+|null)(?::[\d.:]+)?>", name)
-    if not found:
-        raise ValueError(f"{name} names no page")
-    return None if found[1] == "null" else int(found[1])
+    write_blobs(pages.select(*columns).mapInArrow(write, "file binary"), "file", path, end=_END)
 
 
-_ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+#: What a whole record gives: target is the id of the record that a revisit refers to.
+_OUT = pa.schema([("record", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("target", pa.string()), ("url", pa.string())])
+_ROW = "record string, page_id long, payload_bytes long, payload_digest string, record_type string, target string, url string"
 
 
 def _decoded(fields: dict[str, str], block: bytes) -> tuple:
-    """A row of read_archives() for a whole record."""
+    """A row of _OUT for a whole record."""
     head, _, body = block.partition(b"\r\n\r\n")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
+    page = fields.get(PAGE_FIELD.lower())
+    own, page = fields["warc-record-id"], None if page is None else int(page)
     if fields["warc-type"] == "revisit":
-        return _page(fields["warc-record-id"]), int(headers["content-length"]), digest, "revisit", _page(fields["warc-refers-to"]), fields["warc-target-uri"]
+        return own, page, int(headers["content-length"]), digest, "revisit", fields["warc-refers-to"], fields["warc-target-uri"]
     payload = dechunked(body) if headers.get("transfer-encoding") == "chunked" else body
     if hashlib.sha1(payload).hexdigest() != digest:
-        raise ValueError(f"{fields['warc-record-id']}: the payload isn't that of its digest")
-    return _page(fields["warc-record-id"]), len(payload), digest, "response", None, fields["warc-target-uri"]
+        raise ValueError(f"{own}: the payload isn't that of its digest")
+    return own, page, len(payload), digest, "response", None, fields["warc-target-uri"]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -182,23 +209,22 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_OUT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record in the files under ``path``."""
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """record, page_id, payload_bytes, payload_digest, record_type, target, url of every response and revisit in the files under
+    ``path``; segments are put together first."""
     part = pa.schema([*_OUT, ("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("head", pa.string()), ("block", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [None] * len(_OUT)
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = []
                 for fields, block in parsed(batch["content"][k].as_buffer().to_pybytes()):
                     if fields["warc-type"] == "continuation":
-                        rows.append((*[None] * 6, fields["warc-segment-origin-id"], int(fields["warc-segment-number"]), int(fields.get("warc-segment-total-length", -1)), None, block))
+                        rows.append((*none, fields["warc-segment-origin-id"], int(fields["warc-segment-number"]), int(fields.get("warc-segment-total-length", -1)), None, block))
                     elif "warc-segment-number" in fields:
-                        head = "\n".join(f"{k}: {fields[k]}" for k in ("warc-type", "warc-record-id", "warc-payload-digest", "warc-target-uri"))
-                        rows.append((*[None] * 6, fields["warc-record-id"], int(fields["warc-segment-number"]), -1, head, block))
+                        head = "\n".join(f"{k}: {v}" for k, v in fields.items())
+                        rows.append((*none, fields["warc-record-id"], int(fields["warc-segment-number"]), -1, head, block))
                     elif fields["warc-type"] in ("response", "revisit"):
                         rows.append((*_decoded(fields, block), None, None, None, None, None))
                     if len(rows) == 1000:
@@ -216,16 +242,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 block = b"".join(s["block"] for s in segments)
                 if segments[-1]["total"] != len(block):
                     raise ValueError(f"{origin}: {len(block)} bytes, its last segment says {segments[-1]['total']}")
-                fields = dict(x.split(": ", 1) for x in segments[0]["head"].split("\n"))
+                fields = dict(x.partition(": ")[::2] for x in segments[0]["head"].split("\n"))
                 rows.append(_decoded(fields, block))
             yield _batch(rows, _OUT)
 
     # read once: whole records as rows, segments as they are
     found = saved(read_blobs(spark, path).mapInArrow(read, f"{_ROW}, origin string, segment long, total long, head string, block binary"), "records")
-    whole = found.where("origin is null").select(*_OUT.names)
     # as many bytes as the record that was cut has
     groups = found.where("origin is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "total", "head", "block"))).alias("segments"))
-    return whole.unionByName(groups.mapInArrow(join, _ROW))
+    return found.where("origin is null").select(*_OUT.names).unionByName(saved(groups.mapInArrow(join, _ROW), "joined"))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record in the files under ``path``. A revisit of
+    a record that isn't there is an error."""
+    rows = read_records(spark, path)
+    wanted = saved(rows.where("target is not null").select(F.col("target").alias("record")).distinct(), "targets")
+    found = saved(rows.where("target is null").join(bounded(wanted), "record", "left_semi").select(F.col("record").alias("target"), F.col("page_id").alias("refers_to"), F.lit(True).alias("there")), "found")
+    lost = F.col("target").isNotNull() & F.col("there").isNull()
+    refers_to = F.when(lost, F.raise_error(F.concat(F.lit("no record is "), "target")).cast("long")).otherwise(F.col("refers_to"))
+    return rows.join(bounded(found), "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", refers_to.alias("refers_to"), "url")
 
 
 def archived(pages: DataFrame, **parameters) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import duckdb
@@ -83,9 +85,39 @@ def test_archives(spark, odd, empty, size):
     assert warc.archived(empty, **size).count() == 0
 
 
+def test_archives_are_valid(spark, odd):
+    """Ids are unique, each Refers-To is the id of a response with the same digest, and a file is gzip members of one record each."""
+    path = shared_path(spark, "valid")
+    warc.write_archives(warc.with_originals(odd), path, segment=4000, file=20_000)
+    seen = []
+    for r in read_blobs(spark, path).collect():
+        data = bytes(r.content)
+        assert gzip.decompress(data) == warc._plain(data)
+        while data:
+            member = zlib.decompressobj(31)
+            of = list(warc.parsed(member.decompress(data)))
+            data = member.unused_data
+            assert member.eof and len(of) == (1 if data else 0)
+            seen += [fields for fields, _ in of]
+    ids = {f["warc-record-id"]: f for f in seen}
+    assert len(ids) == len(seen) and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", i) for i in ids)
+    revisits = [f for f in seen if f["warc-type"] == "revisit"]
+    assert len(revisits) == sum(n for (_, _, _, kind, _), n in plain_archive(odd_pages()).items() if kind == "revisit") > 0
+    for f in revisits:
+        assert ids[f["warc-refers-to"]]["warc-type"] == "response" and ids[f["warc-refers-to"]]["warc-payload-digest"] == f["warc-payload-digest"]
+
+
+def test_revisits_of_nothing_are_errors(spark):
+    path = shared_path(spark, "lost")
+    made = warc.records("<a>", 5, "u", b"abc", "<b>", hashlib.sha1(b"abc").hexdigest())
+    write_blobs(spark.createDataFrame([(made[0],)], "file binary"), "file", path)
+    with pytest.raises(Exception, match="no record is <b>"):
+        warc.read_archives(spark, path).collect()
+
+
 def test_segments_come_together_across_files(spark):
     payload = bytes(random.Random(1).randbytes(50_000))
-    made = warc.records("0.1", 5, "http://a/", payload, None, hashlib.sha1(payload).hexdigest(), segment=1000)
+    made = warc.records("<a>", 5, "http://a/", payload, None, hashlib.sha1(payload).hexdigest(), segment=1000)
     assert len(made) > 50
     random.Random(2).shuffle(made)
     path = shared_path(spark, "segments")
@@ -97,7 +129,7 @@ def test_segments_come_together_across_files(spark):
 @pytest.mark.parametrize("fault", ["missing", "last", "length"])
 def test_faulty_segments_are_found(spark, fault):
     payload = b"abc" * 1000
-    made = warc.records("0.1", 5, "u", payload, None, hashlib.sha1(payload).hexdigest(), segment=500)
+    made = warc.records("<a>", 5, "u", payload, None, hashlib.sha1(payload).hexdigest(), segment=500)
     if fault == "missing":
         del made[2]
     elif fault == "last":
@@ -342,10 +374,8 @@ def test_odd_vectors(spark):
 
 
 def test_compressed_archives():
-    import gzip
-
-    made = warc.records("0.1", 5, "u", b"abc", None, hashlib.sha1(b"abc").hexdigest())
-    made += warc.records("0.2", 6, "v", b"", None, hashlib.sha1(b"").hexdigest())
+    made = warc.records("<a>", 5, "u", b"abc", None, hashlib.sha1(b"abc").hexdigest())
+    made += warc.records("<b>", 6, "v", b"", None, hashlib.sha1(b"").hexdigest())
     want = list(warc.parsed(b"".join(made)))
     assert len(want) == 2
     assert list(warc.parsed(gzip.compress(b"".join(made)))) == want
