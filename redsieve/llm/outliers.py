@@ -1,16 +1,22 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, built-in functions only.
 
-Each language and source gets a location and a scatter from the three quarters of its documents that lie closest together
-(concentration steps from medians and quartiles). A document whose Mahalanobis distance is over the cut is rejected.
-Only rows of counts move; a group's state is its moments, so a source with a third of all rows costs no more than others.
+Each language and source gets the location and scatter of those three quarters of its documents whose covariance has the least
+determinant. The search has four deterministic starts for every group (medians and quartiles, all documents, the scatter of
+hyperbolic tangents, the scatter of directions). Each takes two concentration steps; the start of least determinant goes on until no
+group's determinant falls any more. A document whose squared Mahalanobis distance is over the quantile of chi-squared that a clean
+one exceeds with a chance of FALSE_ALARM is rejected. Only rows of counts move; a group's state is its moments, so a source with a
+third of all rows costs no more than others. The three quarters are counted to a hundredth of a percent (percentile_approx).
 
 Defined results: a null or empty text has no words, fails the base rules and takes no part in the estimates. A null language
 or source is a group of its own. Groups under ``min_rows`` pool their rows by language, then over all; where even that pool is
-under ``min_rows``, only the base rules decide. Ties and repeated rows count as they are. An empty table gives an empty one."""
+under ``min_rows``, it is judged by the estimates of all documents. Where the whole table is under it, only the base rules decide, as
+five statistics have no scatter then. Ties and repeated rows count as they are. An empty table gives an empty one."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redsieve.llm.common import KEY, row_key, saved, without
@@ -20,30 +26,47 @@ from redsieve.llm.textstats import base_failed, with_statistics
 PRIOR_WORDS = 100
 #: Least standard deviation of each statistic; a statistic that is the same in nearly all documents gets it.
 FLOORS = {"x_length": 0.25, "x_word": 0.15, "x_symbol": 0.04, "x_punct": 0.015, "x_upper": 0.02}
-#: Median of chi-squared with as many degrees of freedom as there are statistics.
-CHI2_MEDIAN = 4.351
+#: Chance that a clean document is rejected, by which the cut is set.
+FALSE_ALARM = 1e-7
+#: Reciprocal of the error of ranks.
+RANKS = 10_000
+#: Concentration steps at most, and the fall of a logarithm of a determinant that counts as none.
+MOST_STEPS, SAME = 40, 1e-9
 #: What a verdict depends on, besides the other documents.
 JUDGED = ("doc_id", "text", "lang", "source")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_punct")
 
 
-def _key(name: str) -> Column:
-    return F.when(F.col(name).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(name)))
+def chi2_quantile(above: float, degrees: int) -> float:
+    """What chi-squared with so many degrees of freedom exceeds with a chance of ``above``."""
+
+    def chance(x: float) -> float:
+        d, q = (1, math.erfc(math.sqrt(x / 2))) if degrees % 2 else (2, math.exp(-x / 2))
+        while d < degrees:
+            q += (x / 2) ** (d / 2) * math.exp(-x / 2) / math.gamma(d / 2 + 1)
+            d += 2
+        return q
+
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chance(middle) > above else (low, middle)
+    return high
 
 
 def statistics_table(docs: DataFrame) -> DataFrame:
     """One narrow row per document: doc_id, the row key, the group keys, the counts and base_failed."""
-    return with_statistics(docs.select("doc_id", "text", "lang", "source", *row_key(*JUDGED))).select("doc_id", *KEY, _key("lang").alias("_lang"), _key("source").alias("_source"), *COUNTS).withColumn("base_failed", base_failed())
+    return with_statistics(docs.select("doc_id", "text", "lang", "source", *row_key(*JUDGED))).select("doc_id", *KEY, F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), *COUNTS).withColumn("base_failed", base_failed())
 
 
 def _vectors(counts: DataFrame) -> DataFrame:
     """The transformed statistics; rates are shrunk towards those of the language."""
     ok = ~F.col("base_failed")
     total = lambda c: F.sum(F.when(ok, F.col(c)))
-    rates = saved(counts.groupBy("_lang").agg(total("n_words").alias("_w"), total("word_chars").alias("_c"), total("n_punct").alias("_p"), total("n_upper").alias("_u")), "rates", files=1)
+    rates = saved(counts.groupBy(F.col("_lang").alias("_l")).agg(total("n_words").alias("_w"), total("word_chars").alias("_c"), total("n_punct").alias("_p"), total("n_upper").alias("_u")), "rates", files=1)
     n, prior = F.col("n_words"), PRIOR_WORDS
     shrunk = lambda c, t: (F.col(c) + prior * F.try_divide(F.col(t), F.col("_w"))) / (n + prior)
-    return counts.join(rates, "_lang").select(
+    return counts.join(rates, F.col("_lang").eqNullSafe(F.col("_l"))).select(
         *counts.columns,
         F.log1p(n).alias("x_length"),
         shrunk("word_chars", "_c").alias("x_word"),
@@ -53,16 +76,28 @@ def _vectors(counts: DataFrame) -> DataFrame:
     )
 
 
+#: The pool of all documents.
+_ALL = "[]"
+
+
 def _pooled(v: DataFrame, min_rows: int) -> DataFrame:
-    """``v`` with its group ``_g``: language and source, or the pool of small ones; null where too few rows are left."""
+    """``v`` with its group ``_g``, JSON of language and source, or the pool of small ones; null where the table is too small."""
+    name = lambda *c: F.to_json(F.array(*[F.col(x) for x in c]))
     n = F.count(F.when(~F.col("base_failed"), 1))
-    sizes = v.groupBy("_lang", "_source").agg(n.alias("_n"))
-    sizes = sizes.withColumn("_g1", F.when(F.col("_n") >= min_rows, F.concat("_lang", F.lit("/"), "_source")))
-    rest = sizes.where("_g1 is null").groupBy("_lang").agg(F.sum("_n").alias("_ln"))
-    sizes = sizes.join(rest, "_lang", "left").withColumn("_g2", F.coalesce("_g1", F.when(F.col("_ln") >= min_rows, F.col("_lang"))))
-    last = sizes.where("_g2 is null").groupBy().agg(F.sum("_n").alias("_all"))
-    sizes = sizes.join(last, F.lit(True), "left").select("_lang", "_source", F.coalesce("_g2", F.when(F.col("_all") >= min_rows, F.lit("*"))).alias("_g"))
-    return v.join(saved(sizes, "groups", files=1), ["_lang", "_source"])
+    sizes = v.groupBy("_lang", "_source").agg(n.alias("_n"))  # a row per group
+    sizes = sizes.withColumn("_g", F.when(F.col("_n") >= min_rows, name("_lang", "_source")))
+    rest = F.sum(F.when(F.col("_g").isNull(), F.col("_n"))).over(Window.partitionBy("_lang"))
+    sizes = sizes.withColumn("_g", F.coalesce("_g", F.when(rest >= min_rows, name("_lang"))))
+    everything = F.sum("_n").over(Window.partitionBy())
+    sizes = sizes.withColumn("_g", F.coalesce("_g", F.when(everything >= min_rows, F.lit(_ALL)))).select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), "_g")
+    return v.join(saved(sizes, "groups", files=1), F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s"))).drop("_l", "_s")
+
+
+def _estimated(v: DataFrame, min_rows: int) -> DataFrame:
+    """The rows that estimates are made of, each in its group: all documents in the last pool, if its own are too few."""
+    rows = v.where("not base_failed and _g is not null")
+    own = rows.where(F.col("_g") == _ALL).count()
+    return rows.withColumn("_g", F.explode(F.array_distinct(F.array("_g", F.lit(_ALL))))) if 0 < own < min_rows else rows
 
 
 def _cholesky(s: dict[tuple[int, int], Column], d: int) -> dict[tuple[int, int], Column]:
@@ -77,8 +112,9 @@ def _cholesky(s: dict[tuple[int, int], Column], d: int) -> dict[tuple[int, int],
     return out
 
 
-def _distance(v: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
-    """``v`` with ``_d2``, the squared Mahalanobis distance, by forward substitution in the stored factor."""
+def _distance(v: DataFrame, fit: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``v`` with ``_d2``, the squared Mahalanobis distance, by forward substitution in the stored factor. A row for each fit of
+    the row's group."""
     d = len(names)
     df = v.join(fit, "_g", "left")
     for i, name in enumerate(names):
@@ -86,56 +122,100 @@ def _distance(v: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"_z{k}")
         df = df.withColumn(f"_z{i}", rest / F.col(f"l{i}{i}"))
-    return df.select(*v.columns, *[c for c in fit.columns if c == "_scale"], sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(d)), F.lit(0.0)).alias("_d2"))
+    return df.select(*v.columns, *keep, sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(d)), F.lit(0.0)).alias("_d2"))
 
 
-def _start(v: DataFrame, names: list[str]) -> DataFrame:
-    """Medians and spreads between quartiles, as a diagonal factor."""
-    q = v.where("not base_failed and _g is not null").groupBy("_g").agg(*[F.percentile_approx(name, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, name in enumerate(names)])
-    cols = [F.col("_g")]
-    for i, name in enumerate(names):
-        cols.append(F.col(f"q{i}")[1].alias(f"m{i}"))
-        cols += [(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[name])) if i == k else F.lit(0.0)).alias(f"l{i}{k}") for k in range(i + 1)]
-    return saved(q.select(*cols), "mcd-start", files=1)
+def _factored(df: DataFrame, s: dict[tuple[int, int], Column], names: list[str]) -> DataFrame:
+    """_g, _s, the centre (columns m0, ... of ``df``), the factor of ``s`` and the logarithm of its determinant."""
+    d = len(names)
+    s = {(i, k): e + (F.lit(FLOORS[names[i]] ** 2) if i == k else F.lit(0.0)) for (i, k), e in s.items()}
+    for (i, k), e in _cholesky(s, d).items():
+        df = df.withColumn(f"l{i}{k}", e)
+    det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(d)), F.lit(0.0))
+    return df.select("_g", "_s", *[f"m{i}" for i in range(d)], *[f"l{i}{k}" for i in range(d) for k in range(i + 1)], det.alias("_det"))
+
+
+def _starts(v: DataFrame, names: list[str]) -> DataFrame:
+    """Four fits of each group, told apart by ``_s``."""
+    d = len(names)
+    pairs = [(i, k) for i in range(d) for k in range(i + 1)]
+    q = v.groupBy("_g").agg(*[F.percentile_approx(name, [0.25, 0.5, 0.75], RANKS).alias(f"q{i}") for i, name in enumerate(names)])
+    spread = lambda i: F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[names[i]]))  # noqa: E731  1.349: of a normal, in deviations
+    q = saved(q.select("_g", *[F.col(f"q{i}")[1].alias(f"c{i}") for i in range(d)], *[spread(i).alias(f"w{i}") for i in range(d)]), "mcd-quartiles", files=1)
+    z = v.join(q, "_g").select("_g", *[((F.col(name) - F.col(f"c{i}")) / F.col(f"w{i}")).alias(f"z{i}") for i, name in enumerate(names)])
+    z = z.withColumn("r2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)), F.lit(0.0)))
+    avg = lambda e, name: F.avg(e).alias(name)
+    got = z.groupBy("_g").agg(
+        *[avg(F.col(f"z{i}"), f"a{i}") for i in range(d)],
+        *[avg(F.col(f"z{i}") * F.col(f"z{k}"), f"p{i}{k}") for i, k in pairs],
+        *[avg(F.tanh(f"z{i}") * F.tanh(f"z{k}"), f"t{i}{k}") for i, k in pairs],
+        *[avg(F.when(F.col("r2") > 0, F.col(f"z{i}") * F.col(f"z{k}") / F.col("r2")), f"u{i}{k}") for i, k in pairs],
+    )
+    got = saved(got.join(q, "_g"), "mcd-moments", files=1)
+    scaled = lambda e, i, k: F.coalesce(e, F.lit(0.0)) * F.col(f"w{i}") * F.col(f"w{k}")
+    forms = (
+        lambda i, k: F.lit(1.0 if i == k else 0.0),
+        lambda i, k: F.col(f"p{i}{k}") - F.col(f"a{i}") * F.col(f"a{k}"),
+        lambda i, k: F.col(f"t{i}{k}"),
+        lambda i, k: F.col(f"u{i}{k}") * d,
+    )
+    fits = None
+    for at, form in enumerate(forms):
+        centre = {f"m{i}": F.col(f"c{i}") + (F.col(f"a{i}") * F.col(f"w{i}") if at == 1 else F.lit(0.0)) for i in range(d)}
+        one = _factored(got.withColumns(centre | {"_s": F.lit(at)}), {(i, k): scaled(form(i, k), i, k) for i, k in pairs}, names)
+        fits = one if fits is None else fits.union(one)
+    return saved(fits, "mcd-start", files=1)
 
 
 def _step(v: DataFrame, fit: DataFrame, names: list[str], share: float) -> DataFrame:
-    """One concentration step: the moments of the ``share`` of each group that lies closest to ``fit``."""
-    near = _distance(v.where("not base_failed and _g is not null"), fit, names)
-    cut = saved(near.groupBy("_g").agg(F.percentile_approx("_d2", share, 2000).alias("_cut")), "mcd-cut", files=1)
-    near = near.join(cut, "_g").where("_d2 <= _cut").join(fit.select("_g", *[F.col(f"m{i}").alias(f"_o{i}") for i in range(len(names))]), "_g")
-    x = [F.col(name) - F.col(f"_o{i}") for i, name in enumerate(names)]  # about the last centre, so that nothing cancels
+    """One concentration step of each fit: the moments of the ``share`` of the group that lies closest to it."""
     d = len(names)
-    got = near.groupBy("_g").agg(*[F.avg(x[i]).alias(f"a{i}") for i in range(d)], *[F.avg(x[i] * x[k]).alias(f"p{i}{k}") for i in range(d) for k in range(i + 1)], *[F.first(f"_o{i}").alias(f"o{i}") for i in range(d)])
+    near = _distance(v, fit, names, ("_s",))
+    cut = saved(near.groupBy("_g", "_s").agg(F.percentile_approx("_d2", share, RANKS).alias("_cut")), "mcd-cut", files=1)
+    near = near.join(cut, ["_g", "_s"]).where("_d2 <= _cut").join(fit.select("_g", "_s", *[F.col(f"m{i}").alias(f"_o{i}") for i in range(d)]), ["_g", "_s"])
+    x = [F.col(name) - F.col(f"_o{i}") for i, name in enumerate(names)]  # about the last centre, so that nothing cancels
+    got = near.groupBy("_g", "_s").agg(*[F.avg(x[i]).alias(f"a{i}") for i in range(d)], *[F.avg(x[i] * x[k]).alias(f"p{i}{k}") for i in range(d) for k in range(i + 1)], *[F.first(f"_o{i}").alias(f"o{i}") for i in range(d)])
     # the truncated scatter is too small by a constant for each share; _calibrated() makes up for it
-    s = {(i, k): F.col(f"p{i}{k}") - F.col(f"a{i}") * F.col(f"a{k}") + (F.lit(FLOORS[names[i]] ** 2) if i == k else F.lit(0.0)) for i in range(d) for k in range(i + 1)}
-    out = got.withColumns({f"m{i}": F.col(f"a{i}") + F.col(f"o{i}") for i in range(d)})
-    for (i, k), e in _cholesky(s, d).items():
-        out = out.withColumn(f"l{i}{k}", e)
-    return saved(out.select("_g", *[f"m{i}" for i in range(d)], *[f"l{i}{k}" for i in range(d) for k in range(i + 1)]), "mcd-fit", files=1)
+    s = {(i, k): F.col(f"p{i}{k}") - F.col(f"a{i}") * F.col(f"a{k}") for i in range(d) for k in range(i + 1)}
+    return saved(_factored(got.withColumns({f"m{i}": F.col(f"a{i}") + F.col(f"o{i}") for i in range(d)}), s, names), "mcd-fit", files=1)
+
+
+def least_determinant(v: DataFrame, names: list[str], share: float) -> DataFrame:
+    """A fit per group. v: _g and the statistics of the rows that estimates are made of."""
+    fit = _starts(v, names)
+    for _ in range(2):
+        fit = _step(v, fit, names, share)
+    best = fit.groupBy("_g").agg(F.min(F.struct("_det", "_s"))["_s"].alias("_s"))
+    fit = saved(fit.join(best, ["_g", "_s"]), "mcd-best", files=1)
+    for _ in range(MOST_STEPS):
+        last, fit = fit, _step(v, fit, names, share)
+        fall = fit.join(last.select("_g", F.col("_det").alias("_last")), "_g").agg(F.max(F.col("_last") - F.col("_det"))).first()[0]
+        if fall is None or fall <= SAME:
+            break
+    return fit
 
 
 def _calibrated(v: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
     """``fit`` with the factor that brings the median distance of a group to that of chi-squared."""
-    near = _distance(v.where("not base_failed and _g is not null"), fit, names)
-    scale = near.groupBy("_g").agg(F.greatest(F.percentile_approx("_d2", 0.5, 2000) / CHI2_MEDIAN, F.lit(0.5)).alias("_scale"))
+    near = _distance(v, fit, names)
+    scale = near.groupBy("_g").agg(F.greatest(F.percentile_approx("_d2", 0.5, RANKS) / chi2_quantile(0.5, len(names)), F.lit(0.5)).alias("_scale"))
     return saved(fit.join(scale, "_g"), "mcd-final", files=1)
 
 
-def _verdicts(docs: DataFrame, share: float = 0.75, steps: int = 3, min_rows: int = 60, cut: float = 45.0) -> DataFrame:
+def _verdicts(docs: DataFrame, share: float = 0.75, min_rows: int = 60, false_alarm: float = FALSE_ALARM) -> DataFrame:
     names = list(FLOORS)
     v = saved(_pooled(_vectors(saved(statistics_table(docs), "statistics")), min_rows), "vectors")
-    fit = _start(v, names)
-    for _ in range(steps):
-        fit = _step(v, fit, names, share)
-    judged = _distance(v, _calibrated(v, fit, names), names).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") / F.col("_scale")))
-    return judged.select("doc_id", *KEY, *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))
+    rows = _estimated(v, min_rows).select("_g", *names)
+    fit = _calibrated(rows, least_determinant(rows, names, share), names)
+    judged = _distance(v, fit, names, ("_scale",)).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d2") / F.col("_scale")))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(false_alarm, len(names)), F.lit(True))
+    return judged.select("doc_id", *KEY, *COUNTS, "base_failed", "distance", kept.alias("kept"))
 
 
 def outlier_verdicts(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, the counts, base_failed, distance (squared, null where it isn't judged) and kept, a row per document of ``docs``.
 
-    share: part of a group whose covariance is taken; cut: largest squared distance that stays."""
+    share: part of a group whose covariance is taken; false_alarm: chance that a clean document is rejected."""
     return _verdicts(docs, **parameters).drop(*KEY)
 
 

@@ -58,38 +58,113 @@ def test_outliers_counts(documents, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {5, 6, 7, 8, None}
 
 
-def plain_mcd(x, floors, share, steps):
-    """Squared distances of all rows of a group by the same steps, in numpy."""
-    n, d = x.shape
-    rank = lambda v, q: np.sort(v)[max(0, math.ceil(q * n) - 1)]
-    q = np.array([[rank(x[:, i], p) for p in (0.25, 0.5, 0.75)] for i in range(d)])
-    centre, cov = q[:, 1], np.diag(np.maximum((q[:, 2] - q[:, 0]) / 1.349, floors) ** 2)
-    dist = lambda: np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
-    for _ in range(steps):
-        d2 = dist()
-        near = x[d2 <= rank(d2, share) * (1 + 1e-12)]
-        centre, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors**2)
-    d2 = dist()
-    return d2 / max(rank(d2, 0.5) / outliers.CHI2_MEDIAN, 0.5)
-
-
-def test_outliers_distances(spark):
+FLOORS = np.array(list(outliers.FLOORS.values()))
+
+
+def plain_mcd(x, share=0.75, starts=300, seed=0):
+    """Logarithm of the least determinant, centre and scatter, of concentration from random subsets until nothing changes."""
+    r, (n, d) = np.random.default_rng(seed), x.shape
+    h = math.ceil(share * n)
+    moments = lambda at: (x[at].mean(axis=0), np.cov(x[at].T, bias=True) + np.diag(FLOORS**2))
+    best = (math.inf, None, None)
+    for _ in range(starts):
+        centre, cov = moments(r.choice(n, d + 1, replace=False))
+        last = math.inf
+        while True:
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            centre, cov = moments(d2 <= np.sort(d2)[h - 1])
+            det = np.linalg.slogdet(cov)[1]
+            if det >= last - 1e-12:
+                break
+            last = det
+        best = min(best, (det, centre, cov), key=lambda t: t[0])
+    return best
+
+
+def contaminated(seed, n, share):
+    """Statistics of a group of which a ``share`` lies elsewhere, in one cluster, spread out or along a line."""
+    r = np.random.default_rng(seed)
+    a = r.normal(size=(5, 5)) * 0.3 + np.eye(5)
+    x = r.normal(size=(n, 5)) @ a * [0.5, 0.3, 0.1, 0.05, 0.05] + [5, 4, 0.2, 0.3, 0.1]
+    bad = np.arange(n) < share * n
+    move = ([2, 3, 1, 0.5, 0.4], r.normal(size=(n, 5)) * 3, r.normal(size=(n, 1)) * [3, 0, 1, 0, 1])[seed % 3]
+    return x + np.where(bad[:, None], move, 0), bad
+
+
+def test_outliers_are_those_of_the_least_determinant(spark):
+    groups = {f"g{k}": contaminated(k, n, share) for k, (n, share) in enumerate([(150, 0.0), (200, 0.1), (120, 0.2), (300, 0.24), (90, 0.15), (180, 0.2)])}
+    names = list(outliers.FLOORS)
+    rows = [(g, *map(float, r)) for g, (x, _) in groups.items() for r in x]
+    v = spark.createDataFrame(rows, ["_g", *names])
+    fit = outliers.least_determinant(v, names, 0.75)
+    got = {r._g: r for r in fit.collect()}
+    assert fit.count() == len(groups)
+    distance = {}
+    for r in outliers._distance(v, outliers._calibrated(v, fit, names), names, ("_scale",)).collect():
+        distance.setdefault(r._g, []).append(r._d2 / r._scale)
+    cut = outliers.chi2_quantile(outliers.FALSE_ALARM, 5)
+    for g, (x, bad) in groups.items():
+        det, centre, cov = plain_mcd(x)
+        assert got[g]._det <= det + 0.02  # few starts against many; here two subsets that differ in a row or two
+        if abs(got[g]._det - det) <= 1e-6:  # the same subset
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            d2 /= max(np.sort(d2)[math.ceil(len(x) / 2) - 1] / outliers.chi2_quantile(0.5, 5), 0.5)
+            assert np.allclose(sorted(distance[g]), sorted(d2), rtol=1e-6)
+        assert np.mean(np.array(sorted(distance[g]))[: int((~bad).sum())] <= cut) > 0.98
+
+
+def test_outliers_of_documents(spark):
     r = random.Random(3)
     junk = lambda t: re.sub(r"(\w+)", r"\1%%%", t)
     rows = [(i, (junk if i % 20 == 19 else str)(prose(r, r.randint(60, 400))), "en", "a", 0) for i in range(140)]
-    docs = spark.createDataFrame(rows, DOCUMENT)
-    got = {x.doc_id: x for x in outliers.outlier_verdicts(docs).collect()}
+    got = {x.doc_id: x for x in outliers.outlier_verdicts(spark.createDataFrame(rows, DOCUMENT)).collect()}
     assert all(got[i].kept == (i % 20 != 19) for i in got)
-    v = outliers._pooled(outliers._vectors(outliers.statistics_table(docs)), 60).where("not base_failed").orderBy("doc_id").select("doc_id", *outliers.FLOORS).collect()
-    want = plain_mcd(np.array([x[1:] for x in v]), np.array(list(outliers.FLOORS.values())), 0.75, 3)
-    assert np.allclose([got[x.doc_id].distance for x in v], want, rtol=1e-6)
+
+
+def test_cut_is_a_quantile():
+    for above, degrees, want in ((0.5, 5, 4.351), (0.001, 5, 20.515), (0.05, 1, 3.841), (0.01, 4, 13.277)):
+        assert outliers.chi2_quantile(above, degrees) == pytest.approx(want, abs=1e-3)
 
 
 def test_outliers_pools(spark):
     r = random.Random(4)
+    vectors = lambda rows, n=60: outliers._pooled(outliers._vectors(outliers.statistics_table(spark.createDataFrame(rows, DOCUMENT))), n)
+    groups = lambda v: {x._g: x["count"] for x in v.groupBy("_g").count().collect()}
     rows = [(i, prose(r, 100), "en" if i < 70 else f"l{i}", f"s{i}", 0) for i in range(100)]
-    v = outliers._pooled(outliers._vectors(outliers.statistics_table(spark.createDataFrame(rows, DOCUMENT))), 60)
-    assert {(x._g, x["count"]) for x in v.groupBy("_g").count().collect()} == {("=en", 70), (None, 30)}
+    v = vectors(rows)
+    assert groups(v) == {'["en"]': 70, "[]": 30}
+    assert groups(outliers._estimated(v, 60)) == {'["en"]': 70, "[]": 100}  # too few of their own
+    assert groups(vectors(rows[:30])) == {None: 30}
+    # names that hold what joins them, and nulls, are groups of their own
+    names = [("en", "a/=b"), ("en/=a", "b"), ("en", None), (None, "en"), ("en", ""), ("[en]", None)]
+    assert len(groups(vectors([(i, prose(r, 60), *names[i % 6], 0) for i in range(60)], 10))) == 6
+
+
+def test_small_groups_are_judged(spark):
+    r = random.Random(6)
+    rows = [(i, prose(r, r.randint(60, 300)), "en", "a", 0) for i in range(120)]
+    rows += [(200, prose(r, 100), "xx", "b", 0), (201, re.sub(r"(\w+)", r"\1%%%", prose(r, 100)), "yy", "b", 0)]
+    got = {x.doc_id: x.kept for x in outliers.outlier_verdicts(spark.createDataFrame(rows, DOCUMENT)).collect()}
+    assert got[200] and not got[201]
+
+
+def test_outliers_are_native(documents):
+    plan = outliers.outlier_verdicts(documents)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|NestedLoop|Cartesian", plan)
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """A row that shares its doc_id with another, or has none, goes or stays by its own text."""
+    r = random.Random(9)
+    good, junk = prose(r, 200), "x " * 200
+    df = spark.createDataFrame([(1, good, "en", "a", 1), (1, junk, "en", "a", 2), (None, junk, "en", "a", 3), (None, good, "en", "a", 4)], DOCUMENT)
+    texts = lambda out: sorted((x.doc_id or 0, x.text) for x in out.collect())
+    assert texts(outliers.without_outliers(df)) == [(0, good), (1, good)]
+    assert texts(neardup.without_near_duplicates(df)) == [(1, good), (1, junk)]
+    again = df.union(df)
+    assert texts(neardup.without_near_duplicates(again)) == [(1, good), (1, junk)]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert texts(qda.without_low_quality(df, labels)) == texts(df)
 
 
 # quality classifier
@@ -356,6 +431,17 @@ def test_runs_place_each_rank_once(rule):
         packing.plan_runs({101: 1}, (100, 7, 20_000))
 
 
+def test_three_capacities_decide(spark):
+    """With the query's own weights and capacities, documents and cost change placements, and cost no sequence."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    counts = {r.length: r.n for r in packing.pieces(docs, "byte_bpe_50k.json", 0, 2048).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    total = sum(n * k for n, k in counts.items())
+    runs = {w: packing.plan_runs(counts, (2048, 2048, 2048**2), "norm", w) for w in (packing.WEIGHTS, (1.0, 0.0, 0.0))}
+    last = {w: int((r[:, 2] + r[:, 3]).max()) for w, r in runs.items()}
+    assert not np.array_equal(runs[packing.WEIGHTS], runs[1.0, 0.0, 0.0])
+    assert last[packing.WEIGHTS] <= last[1.0, 0.0, 0.0] and last[packing.WEIGHTS] <= math.ceil(total / 2048) * 1.01 + 1
+
+
 # mixing
 
 
