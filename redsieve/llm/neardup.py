@@ -38,8 +38,8 @@ SKETCH = 64
 MISS = 2e-8
 #: Longs of a bitmap of a sketch, 64 bits each.
 MAP = 8
-#: Sketches that may be broadcast, half a kilobyte each.
-MOST_SKETCHES = 20_000
+#: Sketches that may be broadcast, half a kilobyte each, and bitmaps, under a hundred bytes each.
+MOST_SKETCHES, MOST_BITMAPS = 20_000, 200_000
 
 
 def least_shared(k: int, share: float, miss: float = MISS) -> int:
@@ -85,17 +85,23 @@ def _lists(reps: DataFrame, percent: int) -> DataFrame:
     first = (retained - least + 1) - (retained - F.size("common"))  # values that no other class has come first of all
     typical = F.aggregate("common", F.lit(0.0), lambda a, x: a + F.log(x["df"].cast("double"))) / retained
     rows = common.withColumn("first", first).where("first > 0")
+    typical = F.round(typical * 64).cast("int")  # whole numbers shuffle in fewer bytes
     return rows.select("rep", typical.alias("typical"), F.explode(F.slice("common", F.lit(1), F.col("first"))).alias("c")).select(F.col("c.v").alias("v"), "rep", "typical")
 
 
 def _hubs(lists: DataFrame, parts: int) -> DataFrame:
-    """v, hub, open: for each part of a list, the member with the commonest values among those that are to be hubs (``far``). A list
-    is open unless its hubs take part in all pairs that are left."""
-    far = F.when(F.col("far"), F.struct("typical", "rep"))
-    part = lists.groupBy("v", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")).agg(F.count("*").alias("m"), F.count_if("far").alias("f"), F.max(far)["rep"].alias("hub"))
+    """v, hub, hub_comp, open: for each part of a list, the member with the commonest values among those that are to be hubs (``far``).
+    A list is open unless its hubs take part in all pairs that are left; then open is true for the commonest of its hubs."""
+    hub = F.max(F.when(F.col("far"), F.struct("typical", "rep", "comp"))).alias("hub")
+    by = ["v"] if parts == 1 else ["v", F.pmod(F.xxhash64("rep"), F.lit(parts)).alias("part")]
+    part = lists.groupBy(*by).agg(F.count("*").alias("m"), F.count_if("far").alias("f"), hub)
+    open_ = lambda hubs: (F.col("f") > hubs) & (F.col("m") > hubs + 1)
+    if parts == 1:
+        return part.where("m > 1").select("v", F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hub_comp"), open_(1).alias("open"))
     part = saved(part, "parts")
-    each = part.groupBy("v").agg(F.sum("m").alias("m"), F.sum("f").alias("f"), F.count("hub").alias("hubs")).where("m > 1")
-    return part.where("hub is not null").select("v", "hub").join(each.select("v", ((F.col("f") > F.col("hubs")) & (F.col("m") > F.col("hubs") + 1)).alias("open")), "v")
+    each = part.groupBy("v").agg(F.sum("m").alias("m"), F.sum("f").alias("f"), F.count("hub").alias("hubs"), F.max("hub")["rep"].alias("wide"))
+    each = each.select("v", "wide", open_(F.col("hubs")).alias("open"))
+    return part.where("hub is not null").join(each, "v").select("v", F.col("hub.rep").alias("hub"), F.col("hub.comp").alias("hub_comp"), (F.col("open") & (F.col("hub.rep") == F.col("wide"))).alias("open"))
 
 
 def _bits() -> list[Column]:
@@ -113,7 +119,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     ids = saved(pairs.select("rep").union(pairs.select("hub")).distinct(), "ids")
     narrow = saved(reps.join(bounded(ids), "rep", "left_semi").select("rep", "n", *_bits()), "bitmaps")
     hubs = narrow.select(F.col("rep").alias("hub"), F.col("n").alias("nh"), *[F.col(f"m{j}").alias(f"h{j}") for j in range(MAP)])
-    j = pairs.join(narrow, "rep").join(hubs, "hub")
+    j = pairs.join(bounded(narrow, MOST_BITMAPS), "rep").join(bounded(hubs, MOST_BITMAPS), "hub")
     bar, shared = _bars(percent)
     apart = sum((F.bit_count(F.col(f"m{j}").bitwiseXOR(F.col(f"h{j}"))) for j in range(MAP)), F.lit(0))
     kept = F.least("n", F.lit(SKETCH)) + F.least("nh", F.lit(SKETCH))
@@ -172,8 +178,21 @@ def _compared(near: DataFrame, docs: DataFrame, keys: DataFrame, size: int, perc
     return out
 
 
+def _left(met: DataFrame, hubs: DataFrame, status: DataFrame) -> DataFrame:
+    """v, rep, comp, typical and far of the members of open lists that have pairs left: neither hubs nor linked with the open hub, where
+    some of them (``far``) are far from it. All others are near it, and their differences from it are searched.
+    status: hub, rep, and linked: true, or false for a member that is far."""
+    met = met.where("open").join(bounded(status), ["hub", "rep"], "left").where("rep <> hub and not coalesce(linked, false)")
+    met = met.select("v", "rep", "comp", "typical", (~F.coalesce("linked", F.lit(True))).alias("far"))
+    others = hubs.where("not open").select("v", F.col("hub").alias("rep")).join(saved(hubs.where("open").select("v"), "open"), "v", "left_semi")
+    met = saved(met.join(bounded(saved(others, "others")), ["v", "rep"], "left_anti"), "left-met")
+    some = saved(met.where("far").select("v").distinct(), "left-lists")
+    return met.join(bounded(some), "v", "left_semi")
+
+
 def _links(lists: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """a, b: links whose components are those of all links. lists: v, rep, typical and far, of which the hubs are chosen."""
+    """a, b: links whose components are those of all links. lists: v, rep, comp (the component, as far as
+    it is known), typical, and far: whether it may be a hub."""
     compared: list[DataFrame] = []
     step = 0
 
@@ -183,37 +202,25 @@ def _links(lists: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
 
     while True:
         hubs = saved(_hubs(lists, 32 ** min(step, 6)), "hubs")
-        met = lists.join(hubs, "v").where("rep <> hub")
-        pairs = saved(met.groupBy("hub", "rep").agg(F.max("open").alias("open")), "pairs")
-        judged = _judged(pairs, reps, percent)
+        met = saved(lists.select("v", "rep", "comp", "typical").join(hubs, "v"), "met")
+        pairs = met.where("rep <> hub and (open or comp <> hub_comp)").groupBy("hub", "rep").agg(F.max("open").alias("open"))
+        judged = _judged(saved(pairs, "pairs"), reps, percent)
         near = saved(judged.where("near").select("hub", "rep", "open"), "near")
-        discard(pairs)
-        linked_here = None
+        status = judged.where("open and not near").select("hub", "rep", F.lit(False).alias("linked"))
         if not near.isEmpty():
             compared.append(_compared(near, docs, reps, size, percent))
-            linked_here = saved(compared[-1].where("linked").select("hub", "rep"), "linked")
-        far = saved(judged.where("open and not near").select("hub", "rep"), "far")
-        if far.isEmpty():
+            status = status.union(compared[-1].where("open and linked").select("hub", "rep", "linked"))
+        status = saved(status, "status")
+        if status.where("not linked").isEmpty():
             break
-        # hubs and members that are linked with one have no other links to seek in the list
-        gone = hubs.select("v", F.col("hub").alias("rep"))
-        if linked_here is not None:
-            gone = gone.union(met.join(bounded(linked_here), ["hub", "rep"], "left_semi").select("v", "rep"))
-        rest = lists.select("v", "rep", "typical").join(saved(hubs.where("open").select("v").distinct(), "open"), "v")
-        rest = saved(rest.join(gone.distinct(), ["v", "rep"], "left_anti"), "rest")
-        # the hub that fewest are far from: all others are near it, and their differences from it are searched
-        apart = saved(rest.join(hubs, "v").join(bounded(far), ["hub", "rep"], "left_semi").select("v", "hub", "rep"), "apart")
-        counts = hubs.join(apart.groupBy("v", "hub").agg(F.count("*").alias("_n")), ["v", "hub"], "left")
-        best = counts.groupBy("v").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "hub")).alias("best")).where("best._n > 0").select("v", "best.hub")
-        seek = saved(apart.join(best, ["v", "hub"]).select("v", "rep", F.lit(True).alias("far")), "seek")
-        left = rest.join(seek.select("v").distinct(), "v").join(seek, ["v", "rep"], "left").withColumn("far", F.coalesce("far", F.lit(False))).withColumn("comp", F.col("rep"))
+        left = _left(met, hubs, status)
         if compared:
             of = saved(labels(), "components").select(F.col("id").alias("rep"), "component")
-            left = left.drop("comp").join(bounded(of), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+            left = left.join(bounded(of), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         left = saved(left, "left")
         mixed = left.groupBy("v").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("v")
-        lists = saved(left.join(mixed, "v").drop("comp"), "lists")
-        discard(hubs, judged, far, rest, apart, seek, left)
+        lists = saved(left.join(mixed, "v").select("v", "rep", "comp", "typical", "far"), "lists")
+        discard(hubs, met, judged, near, status, left)
         if lists.isEmpty():
             break
         step += 1
@@ -232,9 +239,9 @@ def _documents(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     key = ["n_shingles", "s1", "s2"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))  # rows without a doc_id come last
     classes = saved(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("rep"), first.alias("first")), "classes")
-    of = rows.select(F.col("row").alias("rep"), *KEY, F.col("n_shingles").alias("n"), "sketch").join(classes.select("rep"), "rep", "left_semi")
+    of = rows.select(F.col("row").alias("rep"), *KEY, F.col("n_shingles").alias("n"), "sketch").join(bounded(classes.select("rep")), "rep", "left_semi")
     reps = saved(of, "reps")
-    links = _links(saved(_lists(reps, percent).withColumn("far", F.lit(True)), "lists"), reps, docs, shingle_words, percent)
+    links = _links(saved(_lists(reps, percent), "lists").select("v", "rep", F.col("rep").alias("comp"), "typical", F.lit(True).alias("far")), reps, docs, shingle_words, percent)
     labelled = classes.withColumn("component", F.col("rep"))
     if links is not None:
         labels = saved(components(links).withColumnRenamed("id", "rep"), "components")
