@@ -14,6 +14,11 @@ WORD_MARKS = TERM_MARKS + "$"
 JSON_OBJECT = r"(?s)\{(?:[^{}]++|\{[^{}]*+\})*+\}"
 
 
+def stripped(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+
+
 def split_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda t: t != "")
 

@@ -5,9 +5,6 @@ conf and label; seq orders them, as fusion depends on it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,35 +67,24 @@ def small_marks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
     return regions.join(sizes, ["doc_id", "page"]).where((page > 0) & (ratio <= DEFAULT.template_max_area_ratio)).select(*regions.columns)
 
 
-def _clustered(boxes: Iterable[tuple[float, float, float, float]], least: float) -> list[int]:
-    """The cluster of each box: the first whose head it matches, else a new one."""
-    heads: list[tuple[float, float, float, float]] = []
-    out = []
-    for b in boxes:
-        for k, h in enumerate(heads):
-            w, t = min(b[2], h[2]) - max(b[0], h[0]), min(b[3], h[3]) - max(b[1], h[1])
-            if w <= 0 or t <= 0:
-                continue
-            areas = sum(max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1]) for x in (b, h))
-            if w * t / (areas - w * t) >= least:
-                out.append(k)
-                break
-        else:
-            out.append(len(heads))
-            heads.append(b)
-    return out
-
-
 def clusters(regions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``regions`` that are small marks, with ``cluster``; a document's marks in order of page and idx, one document in a task."""
-    rows = small_marks(regions, sizes).select("doc_id", "page", "idx", *_BOX, "confidence", "label")
+    """``regions`` that are small marks, with ``cluster``: a document's marks in order of page and idx, each in the first cluster whose
+    head it matches, or the head of a new one. A document's marks are one row."""
+    mark = F.struct("page", "idx", *_BOX, "confidence", "label")
+    docs = small_marks(regions, sizes).groupBy("doc_id").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    box = lambda m: F.struct(*[m[f].alias(f) for f in _BOX])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "idx"])
-        return pdf.assign(cluster=_clustered(pdf[_BOX].itertuples(index=False, name=None), DEFAULT.template_iou))
+    def place(state: Column, m: Column) -> Column:
+        match = lambda h: g.iou(g.box_in(m), g.box_in(h)) >= DEFAULT.template_iou
+        at = F.array_position(F.transform(state["heads"], match), True)
+        heads = F.when(at > 0, state["heads"]).otherwise(F.concat(state["heads"], F.array(box(m))))
+        cluster = F.when(at > 0, at - 1).otherwise(F.size(state["heads"])).cast("long")
+        return F.struct(heads.alias("heads"), F.concat(state["of"], F.array(cluster)).alias("of"))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy("doc_id").applyInPandas(run, f"{schema}, cluster long")
+    nothing = F.struct(F.array().cast(f"array<struct<{','.join(f'{f}:double' for f in _BOX)}>>").alias("heads"), F.array().cast("array<bigint>").alias("of"))
+    docs = docs.withColumn("of", F.aggregate("marks", nothing, place)["of"])
+    rows = docs.select("doc_id", F.explode(F.arrays_zip("marks", "of")).alias("z"))
+    return rows.select("doc_id", *[F.col(f"z.marks.{f}") for f in ("page", "idx", *_BOX, "confidence", "label")], F.col("z.of").alias("cluster"))
 
 
 def propagated(regions: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -111,8 +97,8 @@ def propagated(regions: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFr
     c = clusters(regions, sizes)
     marks = c.groupBy("doc_id", "cluster").agg(F.collect_set("page").alias("pages"), *means, F.min("confidence").alias("confidence"), F.coalesce(named, F.lit("template-logo")).alias("label"), F.min(order).alias("_o")).where(F.size("pages") >= DEFAULT.template_min_pages).drop("_o")
     wanted = marks.join(sizes.select("doc_id", "page"), "doc_id").where(~F.array_contains("pages", F.col("page"))).drop("pages")
-    there = regions.select("doc_id", "page", *[F.col(f).alias(f"r_{f}") for f in _BOX])
-    on = (wanted.doc_id == there.doc_id) & (wanted.page == there.page) & (g.iou(g.Box(*(wanted[f] for f in _BOX)), g.box("r_")) >= DEFAULT.template_iou)
+    there = regions.select(F.col("doc_id").alias("r_doc_id"), F.col("page").alias("r_page"), *[F.col(f).alias(f"r_{f}") for f in _BOX])
+    on = (F.col("doc_id") == F.col("r_doc_id")) & (F.col("page") == F.col("r_page")) & (g.iou(g.box(), g.box("r_")) >= DEFAULT.template_iou)
     missing = wanted.join(there, on, "left_anti")
     next_idx = regions.groupBy("doc_id", "page").agg((F.max("idx") + 1).alias("_next"))
     place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("cluster")) - 1

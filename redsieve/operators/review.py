@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redsieve.config import DEFAULT, MISS_TYPES
-from redsieve.functions.text import chunks, last_object_with
+from redsieve.functions.text import chunks, last_object_with, stripped
 
 #: Rules of this package's own detector. They find identifiers by form and don't stand for a language service.
 PII_RULES = (
@@ -62,7 +62,7 @@ def missed_entries(verdicts: DataFrame) -> DataFrame:
 
 def miss_type(kind: Column) -> Column:
     """One of the buckets, regardless of case and white space around it; else Other."""
-    k = F.lower(F.btrim(F.coalesce(kind, F.lit(""))))
+    k = F.lower(stripped(F.coalesce(kind, F.lit(""))))
     out = F.lit("Other")
     for name in MISS_TYPES[:-1]:
         out = F.when(k == name.lower(), F.lit(name)).otherwise(out)

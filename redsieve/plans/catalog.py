@@ -30,8 +30,13 @@ def _reviewer_view(r: Relations) -> DataFrame:
     return words.redacted_text(r.words, r.word_marks, DEFAULT.reviewer_text_chars)
 
 
-def _of(f: Callable[[Relations], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(Relations(spark, sf_dir))
+def _of(f: Callable[[Relations], DataFrame], written: bool = False) -> Query:
+    return lambda spark, sf_dir: f(Relations(spark, sf_dir, written))
+
+
+def _written(f: Callable[[Relations], DataFrame]) -> Query:
+    """For queries that read marks or regions more than once."""
+    return _of(f, written=True)
 
 
 def _listing(rows: DataFrame, column: str, *fields: str) -> DataFrame:
@@ -86,11 +91,21 @@ def _loop(r: Relations) -> DataFrame:
     return run_loop(initial_state(r.spark, r.documents), term_redactor(r.terms), rule_reviewer())[1].select("run_id", "iteration", "verdict", "missed_count", "word_delta", "region_delta", "stall_streak", "decision")
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as a reviewer's answer, in whose middle a verdict stands."""
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, answer, n: each turn as a reviewer's answer, in whose middle a verdict stands."""
     t = table(spark, sf_dir, "conversations").withColumn("n", F.length(F.coalesce("text", F.lit(""))))
     answer = F.format_string('%s {"verdict": "%s", "missed": [{"page": %d, "type": "logo", "bbox": [1, 2, 3, 4.5]}], "feedback": "again"} end', F.coalesce("text", F.lit("")), F.when(F.col("n") % 2 == 0, "APPROVED").otherwise("REVISE"), F.col("n") % 9)
-    v = review.parsed_verdicts(t.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), answer.alias("answer")))
+    return t.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), answer.alias("answer"), "n")
+
+
+def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the redactor gets after each answer; approvals are taken for too early."""
+    v = review.parsed_verdicts(_answers(spark, sf_dir))
+    return review.feedback(v, F.col("verdict") == "APPROVED")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = review.parsed_verdicts(_answers(spark, sf_dir))
     return review.missed_entries(v).join(v.select("doc_id", "verdict", "feedback"), "doc_id").select("doc_id", "verdict", "feedback", "page", "type", F.size("bbox").alias("corners"))
 
 
@@ -107,24 +122,26 @@ QUERIES: dict[str, Query] = {
     "redacted_documents": flagship,
     "span_apply": _of(_span_apply),
     "region_strategy": _of(lambda r: r.regions),
-    "region_listing": _of(lambda r: _listing(regions.list_regions(r.regions, r.region_marks), "regions", "idx", "kind", "strategy", "redacted")),
-    "region_span_apply": _of(_region_span_apply),
-    "bbox_inflate": _of(lambda r: regions.apply_boxes(r.regions, r.sizes, regions.box_spans(r.box_payloads))[0].select("doc_id", "page", "idx", "x0", "top", "x1", "bottom", "label")),
+    "region_listing": _written(lambda r: _listing(regions.list_regions(r.regions, r.region_marks), "regions", "idx", "kind", "strategy", "redacted")),
+    "region_span_apply": _written(_region_span_apply),
+    "bbox_inflate": _written(lambda r: regions.apply_boxes(r.regions, r.sizes, regions.box_spans(r.box_payloads))[0].select("doc_id", "page", "idx", "x0", "top", "x1", "bottom", "label")),
     "detection_fusion": _of(lambda r: regions.fused(r.detections)),
     "detection_sources": _of(lambda r: regions.source_counts(r.detections)),
-    "template_propagation": _of(lambda r: regions.propagated(regions.detected_regions(r.detections, r.words, r.sizes), r.words, r.sizes)),
-    "occluded_words": _of(lambda r: render.occluded(r.words, r.word_marks, r.regions, r.region_marks).select(*words.KEY)),
-    "supplemental_pages": _of(_supplemental),
-    "page_map": _of(lambda r: regions.page_map(r.sizes, _supplemental(r))),
-    "overlay_rects": _of(lambda r: render.overlay(r.words, r.word_marks, r.regions, r.region_marks)),
-    "draw_list": _of(_draw_list),
-    "finding_filter": _of(lambda r: _findings(r, r.findings.where("doc_id % 2 = 0"))),  # a half, as its SQL has it; finding_review is whole
-    "finding_review": _of(_finding_review),
+    "template_propagation": _written(lambda r: regions.propagated(r.detected, r.words, r.sizes)),
+    "region_summary": _of(lambda r: regions.region_summary(r.regions)),
+    "occluded_words": _written(lambda r: render.occluded(r.words, r.word_marks, r.regions, r.region_marks).select(*words.KEY)),
+    "supplemental_pages": _written(_supplemental),
+    "page_map": _written(lambda r: regions.page_map(r.sizes, _supplemental(r))),
+    "overlay_rects": _written(lambda r: render.overlay(r.words, r.word_marks, r.regions, r.region_marks)),
+    "draw_list": _written(_draw_list),
+    "finding_filter": _written(lambda r: _findings(r, r.findings)),
+    "finding_review": _written(_finding_review),
     "identity_terms": _of(lambda r: identity.identity_terms(r.parties)),
     "evidence_text": _of(lambda r: words.evidence_text(r.words, r.sizes)),
     "text_chunks": _of(lambda r: review.text_chunks(r.documents)),
     "pii_rule_entities": _of(lambda r: review.rule_entities(review.text_chunks(r.documents))),
     "verdict_entries": _verdicts,
+    "feedback_payload": _feedback,
     "miss_buckets": _of(lambda r: review.miss_buckets(r.misses, "run_id")),
     "tool_counters": _of(lambda r: metrics.tool_counters(r.tool_events)),
     "counter_difference": _of(_counter_difference),

@@ -6,15 +6,15 @@ folder after each iteration, so the lineage stays short and an executor that is
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redsieve.config import DEFAULT, Settings
 from redsieve.operators import metrics, regions, render, review, words
+from redsieve.plans.storage import checkpointed
 
 
 @dataclass(frozen=True)
@@ -68,13 +68,6 @@ def rule_reviewer() -> Reviewer:
     return run
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="redsieve-"))
-    return df.checkpoint()
-
-
 def run_loop(state: State, redactor: Redactor, reviewer: Reviewer, settings: Settings = DEFAULT, most: int | None = None) -> tuple[State, DataFrame]:
     """The last state, and the history of all iterations (run_id is the doc_id) with the decision after each."""
     most = max(1, settings.max_iterations if most is None else most)

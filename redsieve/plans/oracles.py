@@ -137,6 +137,39 @@ fold as (
 fused as (
   select doc_id, page, (unnest(range(len(boxes))))::int as idx, unnest(boxes) as b from fold where i = len(vision))"""
 
+_PROPAGATED = f"""
+found_words as (
+  select f.doc_id, f.page, f.idx, count(w.idx) as n_words from fused f left join words w on w.doc_id = f.doc_id and w.page = f.page
+    and (w.x0 + w.x1) / 2 between f.b.x0 and f.b.x1 and (w.top + w.bottom) / 2 between f.b.top and f.b.bottom group by all),
+found as (select f.doc_id, f.page, f.idx, f.b.x0 as x0, f.b.top as top, f.b.x1 as x1, f.b.bottom as bottom, f.b.conf as confidence, nullif(f.b.label, '') as label from fused f join found_words using (doc_id, page, idx)),
+small as (select * from found join sizes using (doc_id, page) where greatest(x1 - x0, 0) * greatest(bottom - top, 0) / (width * height) <= 0.25e0),
+marks as (select doc_id, list({{'page': page, 'idx': idx, 'x0': x0, 'top': top, 'x1': x1, 'bottom': bottom, 'confidence': confidence, 'label': label}} order by page, idx) as marks from small group by doc_id),
+placed as (
+  select doc_id, 0 as i, marks, marks[1:0] as heads, []::bigint[] as clusters from marks
+  union all
+  select doc_id, i + 1, marks, case when place is null or place = 0 then list_append(heads, m) else heads end,
+    list_append(clusters, case when place is null or place = 0 then len(heads) else place - 1 end)
+  from (select *, marks[i + 1] as m, list_position(list_transform(heads, lambda h: ({_iou("marks[i + 1]", "h")}) >= 0.6e0), true) as place from placed where i < len(marks))),
+clustered as (select doc_id, unnest(marks) as m, unnest(clusters) as cluster from placed where i = len(marks)),
+stamps as (
+  select doc_id, cluster, list(distinct m.page) as pages, avg(m.x0) as x0, avg(m.top) as top, avg(m.x1) as x1, avg(m.bottom) as bottom, min(m.confidence) as confidence,
+    coalesce(arg_min(m.label, m.page * 100000 + m.idx) filter (m.label is not null), 'template-logo') as label
+  from clustered group by all having count(distinct m.page) >= 3),
+lacking as (
+  select s.doc_id, z.page, s.cluster, s.x0, s.top, s.x1, s.bottom, s.confidence, s.label from stamps s join sizes z on z.doc_id = s.doc_id and not list_contains(s.pages, z.page)
+  where not exists (select 1 from found f where f.doc_id = s.doc_id and f.page = z.page and ({_iou("s", "f")}) >= 0.6e0)),
+stamped as (
+  select l.doc_id, l.page, (coalesce((select max(f.idx) + 1 from found f where f.doc_id = l.doc_id and f.page = l.page), 0) + row_number() over (partition by l.doc_id, l.page order by l.cluster) - 1)::int as idx,
+    l.x0, l.top, l.x1, l.bottom, l.confidence, l.label from lacking l),
+stamped_words as (
+  select s.doc_id, s.page, s.idx, s.x0, s.top, s.x1, s.bottom, s.confidence, s.label, count(w.idx) as n_words from stamped s left join words w on w.doc_id = s.doc_id and w.page = s.page
+    and (w.x0 + w.x1) / 2 between s.x0 and s.x1 and (w.top + w.bottom) / 2 between s.top and s.bottom group by all)"""
+
+_ANSWERS = """
+answers as (
+  select conv_id || '-' || turn as doc_id, case when n % 2 = 0 then 'APPROVED' else 'REVISE' end as verdict, 'again' as feedback, (n % 9)::int as page
+  from (select conv_id, turn, length(coalesce(text, '')) as n from conversations))"""
+
 _TERM_LISTS = r"""
 firsts as (
   select doc_id, regexp_extract(coalesce(text, ''), '^(?:\S+\s+){0}(\S+)', 1) as a, regexp_extract(coalesce(text, ''), '^(?:\S+\s+){1}(\S+)', 1) as b,
@@ -177,6 +210,23 @@ nexts as (select doc_id, page, max(idx) as m, count(*) as c, list(idx order by i
 select b.doc_id, b.page, (coalesce((select max(l[j] - j) + len(l) + 1 from (select unnest(range(1, len(n.l) + 1)) as j)), 0) + b.seq)::int as idx, greatest(0, b.x0 - 5) as x0, greatest(0, b.top - 5) as top, least(612e0, b.x1 + 5) as x1, least(792e0, b.bottom + 5) as bottom, b.label
 from boxes b join sizes s on s.doc_id = b.doc_id and s.page = b.page left join nexts n on n.doc_id = b.doc_id and n.page = b.page""",
     "detection_fusion": _with(_WORDS, _DETECTIONS, _FUSE) + "select doc_id, page, idx, b.x0, b.top, b.x1, b.bottom, b.conf, b.label from fused",
+    "template_propagation": _with(_WORDS, _DETECTIONS, _FUSE, _PROPAGATED)
+    + f"select doc_id, page, idx, 'logo' as kind, x0, top, x1, bottom, confidence, label, {_strategy('')} as strategy from stamped_words join sizes using (doc_id, page)",
+    "region_summary": _with(_WORDS, _DETECTIONS, _REGIONS)
+    + "select doc_id, count(*) as regions, count(distinct page) as pages, count(*) filter (strategy = 'inline') as inline, count(*) filter (strategy = 'page_split') as page_split from regions group by doc_id",
+    "verdict_entries": _with(_ANSWERS) + "select doc_id, verdict, feedback, page, 'logo' as type, 4 as corners from answers",
+    "draw_list": _with(_WORDS, _SWEEP, _DETECTIONS, _REGIONS, _SUPPLEMENT)
+    + """, chosen as (
+  select w.doc_id, w.page, 0 as z, w.idx, w.x0, w.top, w.x1, w.bottom from words w semi join word_marks m on w.doc_id = m.doc_id and w.page = m.page and w.idx = m.idx
+  union all select doc_id, page, 1, idx, x0, top, x1, bottom from marked),
+dense as (select doc_id, page, count(*) / greatest(1, count(distinct round_even(top, 0))) > 25 as degenerate from visible semi join supplemental using (doc_id, page) group by all),
+scales as (select 200e0 / 72e0 as k, greatest(1, floor(22 * (200e0 / 72e0)))::int as banner)
+select doc_id, page, 0 as layer, 'rect' as op, z, idx, (x0 - 1) * k as x0, (top - 1) * k as y0, (x1 + 1) * k as x1, (bottom + 1) * k as y1, null::int as font, null::varchar as text from chosen, scales
+union all select doc_id, page, 1, 'rect', 2, 0, 0e0, 0e0, greatest(1, floor(width * k))::double, banner::double, null, null from supplemental join sizes using (doc_id, page), scales
+union all select doc_id, page, 1, 'text', 3, 0, floor(6 * k), floor(banner * 0.22e0), null, null, greatest(6, floor(banner * 0.55e0))::int, 'SUPPLEMENTAL - non-redacted text from page ' || (page + 1) from supplemental join sizes using (doc_id, page), scales
+union all select v.doc_id, v.page, 1, case when d.degenerate then 'flow' else 'text' end, 4, v.idx, v.x0 * k, banner + v.top * k * ((greatest(1e0, height * k) - banner) / greatest(1e0, height * k)), null, null,
+  greatest(6, floor(greatest(1e0, v.bottom - v.top) * k * 0.95e0 * ((greatest(1e0, height * k) - banner) / greatest(1e0, height * k))))::int, v.text
+from visible v join dense d on d.doc_id = v.doc_id and d.page = v.page join sizes s on s.doc_id = v.doc_id and s.page = v.page, scales""",
     "detection_sources": _with(_WORDS, _DETECTIONS) + "select source, count(*) as n from detections group by source",
     "occluded_words": _with(_WORDS, _SWEEP, _DETECTIONS, _REGIONS, _SUPPLEMENT) + "select doc_id, page, idx from occluded",
     "supplemental_pages": _with(_WORDS, _SWEEP, _DETECTIONS, _REGIONS, _SUPPLEMENT) + "select * from supplemental",
@@ -191,7 +241,7 @@ select doc_id, rendered as rendered_page, page as source_page from shifted union
   union all select doc_id, page, 1, idx, x0, top, x1, bottom from marked)
 select doc_id, page, z, idx, (x0 - 1) * (200e0 / 72e0) as x0, (top - 1) * (200e0 / 72e0) as y0, (x1 + 1) * (200e0 / 72e0) as x1, (bottom + 1) * (200e0 / 72e0) as y1 from chosen""",
     "finding_filter": _with(_WORDS, _SWEEP, _DETECTIONS, _REGIONS, _TERM_LISTS)
-    + f""", findings as (select doc_id, page || '-' || source || '-' || seq as fid, page, x0, top, x1, bottom, label from detections where doc_id % 2 = 0),
+    + f""", findings as (select doc_id, page || '-' || source || '-' || seq as fid, page, x0, top, x1, bottom, label from detections),
 lists as (select doc_id, list(lower(term)) as terms from identity group by doc_id),
 covered as (select distinct f.doc_id, f.fid from findings f join marked r on r.doc_id = f.doc_id and r.page = f.page where ({_iou("f", "r")}) >= 0.4e0),
 inside as (

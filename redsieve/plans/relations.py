@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redsieve.operators import regions, words
+from redsieve.plans.storage import checkpointed
 from redsieve.sources import fixture
 
 #: Phrases of the sweeps, with two that show how marks around tokens count.
@@ -17,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Relations:
-    """All of them lazily, of one folder of tables."""
+    """All of them lazily, of one folder of tables. written: marks and regions, which a query then reads again and again, are computed
+    once and written."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, written: bool = False):
+        self._keep = checkpointed if written else lambda df: df
         self.spark, self.documents = spark, table(spark, sf_dir, "documents")
         self.sf_dir = sf_dir
         self.words, self.sizes = fixture.words(self.documents), fixture.page_sizes(self.documents)
@@ -33,16 +38,21 @@ class Relations:
     def hits(self) -> DataFrame:
         return words.sweep(self.words, self.terms)
 
-    @property
+    @cached_property
     def word_marks(self) -> DataFrame:
-        return words.swept_marks(self.hits)
+        return self._keep(words.swept_marks(self.hits))
 
-    @property
+    @cached_property
     def regions(self) -> DataFrame:
         """Each detection as a region, unfused."""
         idx = F.when(F.col("source") == "layout", F.col("seq")).otherwise(F.col("seq") + 2)
         rows = regions.classified(self.detections.withColumn("idx", idx), self.words, self.sizes, ["idx"])
-        return rows.select("doc_id", "page", "idx", F.when(F.col("label").isNotNull() | (F.col("strategy") == "inline"), "logo").otherwise("figure").alias("kind"), "x0", "top", "x1", "bottom", F.col("conf").alias("confidence"), "label", "strategy")
+        return self._keep(rows.select("doc_id", "page", "idx", F.when(F.col("label").isNotNull() | (F.col("strategy") == "inline"), "logo").otherwise("figure").alias("kind"), "x0", "top", "x1", "bottom", F.col("conf").alias("confidence"), "label", "strategy"))
+
+    @cached_property
+    def detected(self) -> DataFrame:
+        """Fused detections as regions."""
+        return self._keep(regions.detected_regions(self.detections, self.words, self.sizes))
 
     @property
     def region_marks(self) -> DataFrame:
