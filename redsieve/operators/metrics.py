@@ -112,18 +112,22 @@ def run_summary(runs: DataFrame, history: DataFrame, events: DataFrame) -> DataF
 
 
 def run_metrics(runs: DataFrame, history: DataFrame, events: DataFrame) -> DataFrame:
-    """run_id, label, timestamp and metrics: one nested structure a run, with its iterations in order."""
-    s = run_summary(runs, history, events)
-    per = history.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("iteration", "verdict", "missed_count", "word_delta", "region_delta", F.struct(*BUCKETS).alias("missed_by_type")))).alias("per_iteration"))
+    """run_id, run_label, timestamp and metrics: one nested structure a run, with its iterations in order. runs: as run_summary() takes
+    them, and page_split_pages (an array) if it is known."""
+    s = run_summary(runs, history, events).drop("input_pdf")
+    iteration = F.struct("iteration", "verdict", "missed_count", "word_delta", "region_delta", F.struct(*BUCKETS).alias("missed_by_type"))
+    per = history.groupBy("run_id").agg(F.array_sort(F.collect_list(iteration)).alias("per_iteration"), *[F.max_by(b, "iteration").cast("long").alias(f"last_{b}") for b in BUCKETS])
     raw = tool_counters(events).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("tool", "calls", "words_added", "regions_added"))).alias("raw_counters"))
-    j = s.join(per, "run_id", "left").join(raw, "run_id", "left").join(runs.select("run_id", F.date_format("finished_at", "yyyy-MM-dd'T'HH:mm:ss").alias("finished_at")), "run_id")
-    named = lambda prefix, names: F.struct(*[F.col(f"{prefix}{n}").alias(n) for n in names])
+    pages = F.coalesce("page_split_pages", F.array().cast("array<int>")) if "page_split_pages" in runs.columns else F.array().cast("array<int>")
+    own = runs.select("run_id", "input_pdf", F.array_sort(pages).alias("page_split_pages"), F.date_format("finished_at", "yyyy-MM-dd'T'HH:mm:ss").alias("finished_at"))
+    j = s.join(per, "run_id", "left").join(raw, "run_id", "left").join(own, "run_id")
+    named = lambda prefix, names: F.struct(*[F.coalesce(f"{prefix}{n}", F.lit(0)).alias(n) for n in names])
     nested = F.struct(
         "run_label", "timestamp", "finished_at", "duration_seconds", "input_pdf", "iterations_run", "final_verdict",
-        F.struct(F.col("total_words_redacted").alias("words_redacted"), F.col("total_regions_redacted").alias("regions_redacted"), "final_missed_count").alias("totals"),
+        F.struct(F.col("total_words_redacted").alias("words_redacted"), F.col("total_regions_redacted").alias("regions_redacted"), "page_split_pages", "final_missed_count").alias("totals"),
         F.struct(named("proactive_", ("words", "regions")).alias("proactive"), named("reviewer_driven_", ("words", "regions")).alias("reviewer_driven")).alias("redactor_attribution"),
         F.struct(named("words_via_", WORD_TOOLS).alias("words_by_tool"), named("regions_via_", REGION_TOOLS).alias("regions_by_tool"), "raw_counters").alias("redactor_by_tool"),
-        F.struct(F.col("total_misses_flagged").alias("total_flagged_across_iterations"), named("misses_", BUCKETS).alias("by_type_across_iterations"), F.col("final_missed_count").alias("final_iteration_count")).alias("reviewer_misses"),
+        F.struct(F.col("total_misses_flagged").alias("total_flagged_across_iterations"), named("misses_", BUCKETS).alias("by_type_across_iterations"), F.col("final_missed_count").alias("final_iteration_count"), named("last_", BUCKETS).alias("final_iteration_by_type")).alias("reviewer_misses"),
         "per_iteration",
     )
     return j.select("run_id", "run_label", "timestamp", nested.alias("metrics"))

@@ -83,6 +83,15 @@ def _run_summary(r: Relations) -> DataFrame:
     return metrics.run_summary(_runs(r), r.history, r.tool_events).drop("run_label", "total_words_redacted", "total_regions_redacted")
 
 
+def _run_metrics(r: Relations) -> DataFrame:
+    """The parts of the nested structure that its flat summary hasn't."""
+    runs = _runs(r).withColumn("page_split_pages", F.array(F.lit(3), (F.col("run_id") % 3).cast("int")))
+    m = metrics.run_metrics(runs, r.history, r.tool_events)
+    last = [F.col(f"metrics.reviewer_misses.final_iteration_by_type.{b}").alias(f"last_{b}") for b in metrics.BUCKETS]
+    pages = F.array_join(F.col("metrics.totals.page_split_pages").cast("array<string>"), ",")
+    return m.select("run_id", F.col("metrics.input_pdf").alias("input_pdf"), pages.alias("split_pages"), *last, F.size("metrics.per_iteration").cast("long").alias("iterations"), F.col("metrics.reviewer_misses.total_flagged_across_iterations").alias("flagged"))
+
+
 def _draw_list(r: Relations) -> DataFrame:
     return render.draw_list(r.words, r.word_marks, r.regions, r.region_marks, r.split, r.sizes)
 
@@ -152,5 +161,6 @@ QUERIES: dict[str, Query] = {
     "attribution": _of(lambda r: metrics.attribution(r.history)),
     "words_and_regions_by_tool": _of(lambda r: metrics.by_tool(r.tool_events)),
     "run_summary": _of(_run_summary),
+    "run_metrics": _of(_run_metrics),
     "redaction_loop": _of(_loop),
 }

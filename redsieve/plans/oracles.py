@@ -298,4 +298,9 @@ from a left join b using (run_id, tool) where a.c <> coalesce(b.c, 0) or a.w <>
   coalesce(regions_via_redact_visual_regions, 0) as regions_via_redact_visual_regions, coalesce(regions_via_redact_bbox, 0) as regions_via_redact_bbox,
   '2024-01-02T03:04:05' as timestamp, 12.35e0 as duration_seconds, 'in.pdf' as input_pdf
 from flagged f join credited c using (run_id) left join tooled t using (run_id)""",
+    "run_metrics": _with(_HISTORY)
+    + """select run_id, '/data/in.pdf' as input_pdf, case when run_id % 3 = 0 then '0,3' when run_id % 3 = 1 then '1,3' else '2,3' end as split_pages,
+  arg_max(pii, iteration) as last_pii, arg_max(mnpi, iteration) as last_mnpi, arg_max(logo, iteration) as last_logo, arg_max(consistency, iteration) as last_consistency,
+  arg_max(structure, iteration) as last_structure, arg_max(other, iteration) as last_other, count(*) as iterations, sum(pii + mnpi + logo + consistency + structure + other)::bigint as flagged
+from history group by run_id""",
 }
