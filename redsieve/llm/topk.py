@@ -1,8 +1,9 @@
 """Exact top-k inner products by Fagin's threshold algorithm over sorted lists, one per dimension.
 
-Vectors and queries are dealt to blocks, and each pair of blocks is a task of bounded size. There, a query reads the list of each
-dimension from the end where its products are largest, scores every vector it comes across in full, and stops when the sum of
-the products at the depth reached can't beat its k-th score. The results of the blocks are merged.
+Queries go in blocks of a fixed number, each broadcast in turn; vectors never move. A task takes its vectors block by block. In a
+block, a query reads the list of each dimension from the end where its products are largest, scores every vector it comes across
+in full, and stops when the sum of the products at the depth reached can't beat its k-th score, which it keeps from block to block;
+a block whose largest and smallest components can't beat it is left out. The k best of each task are merged.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; vectors of
 another dimension aren't compared. Rows with the query's own id aren't its candidates. Equal scores rank by id; a query with
@@ -11,6 +12,9 @@ long. An empty table gives an empty result."""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +22,9 @@ from pyspark.sql import functions as F
 
 from redsieve.llm.common import saved
 
-#: Vectors and queries of a block.
+#: Vectors of a block, and queries that are broadcast together (8 bytes a component).
 VECTORS = 8192
-QUERIES = 1024
+QUERIES = 16_384
 SCALE = 256
 
 
@@ -40,8 +44,9 @@ def _type(c: np.ndarray, q: np.ndarray) -> type:
     return np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
 
 
-def threshold_search(ids: np.ndarray, c: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """query_id, vec_id, score of the k best of the rows of ``c`` for each row of ``q``."""
+def threshold_search(ids: np.ndarray, c: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, floors: list[int | None] | None = None) -> list[tuple[int, int, int]]:
+    """query_id, vec_id, score of the k best of the rows of ``c`` for each row of ``q``. floors: for each query, a score below which
+    it needs none."""
     n, d = c.shape
     kind = _type(c, q)
     by_id = np.argsort(ids, kind="stable")
@@ -50,8 +55,10 @@ def threshold_search(ids: np.ndarray, c: np.ndarray, query_ids: np.ndarray, q: n
     order = np.argsort(c, axis=0, kind="stable")
     values = np.take_along_axis(c, order, axis=0)
     out: list[tuple[int, int, int]] = []
-    for qid, x in zip(query_ids.tolist(), q, strict=True):
+    for qid, x, floor in zip(query_ids.tolist(), q, floors or [None] * len(q), strict=True):
         up, down = np.flatnonzero(x > 0), np.flatnonzero(x < 0)
+        if floor is not None and values[n - 1, up] @ x[up] + values[0, down] @ x[down] < floor:
+            continue
         seen = ids == qid  # its own rows count as seen and are never scored
         rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
         depth, step = 0, max(8, n // 128)
@@ -72,16 +79,18 @@ def threshold_search(ids: np.ndarray, c: np.ndarray, query_ids: np.ndarray, q: n
             if depth == n or seen.all():
                 break
             bound = values[n - depth, up] @ x[up] + values[depth - 1, down] @ x[down]
-            if len(rows) == k and bound < scores.min():
+            if len(rows) == k and bound < scores.min() or floor is not None and bound < floor:
                 break
         out += [(qid, int(ids[r]), int(s)) for r, s in zip(rows.tolist(), scores.tolist(), strict=True)]
     return out
 
 
-def _matrices(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _matrices(t: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and vectors by dimension."""
     ids = t["vec_id"].to_numpy()
-    lists = t["v"].combine_chunks()
+    lists = t["v"]
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -93,30 +102,46 @@ def _matrices(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best for each row whose vec_id is divisible by ``every``, against all rows."""
-    v = saved(vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers("embedding").alias("v")), "vectors")
-    queries = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    n_c, n_q = (max(1, -(-t.count() // size)) for t, size in ((v, VECTORS), (queries, QUERIES)))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    c = v.withColumn("cb", block(n_c)).withColumn("qb", everywhere(n_q))
-    q = queries.withColumn("qb", block(n_q)).withColumn("cb", everywhere(n_c)).select(*c.columns)
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            candidates = _matrices(left)
-            for d, (query_ids, x) in _matrices(right).items():
-                if d in candidates:
-                    found += threshold_search(*candidates[d], query_ids, x, k)
-        found = [(a, b, min(max(x, -(1 << 63)), (1 << 63) - 1)) for a, b, x in found]
+def _searched(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each task's vectors for each query. queries: as _matrices() returns them."""
+    shared, size = vectors.sparkSession.sparkContext.broadcast(queries), VECTORS
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[int, int]]] = {}  # of each query: score, the smaller the worse, and minus the id
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                for d, (ids, c) in _matrices(batch.slice(at, size)).items():
+                    if d not in shared.value:
+                        continue
+                    query_ids, x = shared.value[d]
+                    floors = [best[i][0][0] if len(best.get(i, ())) == k else None for i in query_ids.tolist()]
+                    for i, j, score in threshold_search(ids, c, query_ids, x, k, floors):
+                        held = best.setdefault(i, [])
+                        if len(held) < k:
+                            heapq.heappush(held, (score, -j))
+                        else:
+                            heapq.heappushpop(held, (score, -j))
+        found = [(i, -j, min(max(score, -(1 << 63)), (1 << 63) - 1)) for i, held in best.items() for score, j in held]
         columns = list(zip(*found, strict=True)) if found else [[]] * 3
-        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "vec_id", "score"])
+
+    return vectors.mapInArrow(search, "query_id long, vec_id long, score long")
 
-    best = c.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInArrow(search, "query_id long, vec_id long, score long")
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best for each row whose vec_id is divisible by ``every``, against all rows."""
+    v = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers("embedding").alias("v"))
+    v = saved(v, "vectors")
+    queries = saved(v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
+    blocks = max(1, -(-queries.count() // QUERIES))
+    found = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # QUERIES of them, about
+        best = _searched(v, _matrices(block), k)
+        best = best if blocks == 1 else saved(best, "best")
+        found = best if found is None else found.union(best)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
