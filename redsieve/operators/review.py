@@ -85,8 +85,14 @@ def logo_block(misses: DataFrame) -> DataFrame:
     return logo_boxes(misses).groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["b"])).alias("block"))
 
 
-def feedback(verdicts: DataFrame, forced: Column) -> DataFrame:
-    """doc_id, feedback_json: what the redactor gets; after an approval that came too early, a standing request."""
-    given = F.to_json(F.struct(F.col("missed"), F.col("feedback")))
+def feedback_json(missed: Column, text: Column, forced: Column) -> Column:
+    """What the redactor gets: the misses, a JSON list, and the reviewer's words; after an approval that came too early, a standing
+    request."""
+    given = F.to_json(F.struct(missed.alias("missed"), text.alias("feedback")))
     fixed = F.to_json(F.struct(F.lit("[]").alias("missed"), F.lit(FEEDBACK_FORCED).alias("feedback")))
-    return verdicts.select("doc_id", F.when(forced, fixed).otherwise(given).alias("feedback_json"))
+    return F.when(forced, fixed).otherwise(given)
+
+
+def feedback(verdicts: DataFrame, forced: Column) -> DataFrame:
+    """doc_id, feedback_json of verdicts as parsed_verdicts() returns them."""
+    return verdicts.select("doc_id", feedback_json(F.col("missed"), F.col("feedback"), forced).alias("feedback_json"))

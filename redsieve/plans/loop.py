@@ -6,14 +6,15 @@ folder after each iteration, so the lineage stays short and an executor that is
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redsieve.config import DEFAULT, Settings
-from redsieve.operators import metrics, regions, render, review, words
+from redsieve.operators import identity, metrics, regions, render, review, words
 from redsieve.plans.storage import checkpointed
 
 
@@ -29,22 +30,30 @@ class State:
     split: DataFrame
 
 
+#: What a reviewer misses: boxes are those of logos.
+MISSES = "array<struct<type:string,text:string,page:int,bbox:array<double>>>"
+
+
 class Redactor(Protocol):
     def __call__(self, state: State, active: DataFrame, misses: DataFrame | None, iteration: int) -> tuple[DataFrame, DataFrame]:
-        """Keys of words and of regions to mark in the active documents (doc_id)."""
+        """Keys of words and of regions to mark in the active documents (doc_id). misses: doc_id and misses of those that go on."""
 
 
 class Reviewer(Protocol):
     def __call__(self, state: State, active: DataFrame) -> DataFrame:
-        """doc_id, verdict, and misses: an array of type and text, for each active document."""
+        """doc_id, verdict, and misses (MISSES) for each active document."""
 
 
-def term_redactor(terms: DataFrame, all_regions: bool = True) -> Redactor:
-    """Sweeps ``terms`` and what the reviewer missed; marks every region in the first iteration."""
+def term_redactor(terms: DataFrame, all_regions: bool = True, parties: DataFrame | None = None) -> Redactor:
+    """Sweeps ``terms``, in the first iteration the identity terms of ``parties`` (doc_id, party) too, and later what the reviewer
+    missed; marks every region in the first iteration."""
 
     def run(state: State, active: DataFrame, misses: DataFrame | None, iteration: int) -> tuple[DataFrame, DataFrame]:
         own = state.words.join(active, "doc_id", "left_semi")
         hits = words.swept_marks(words.sweep(own, terms))
+        if parties is not None and iteration == 1:
+            seed = identity.identity_terms(parties).select("doc_id", "term", F.col("pos").alias("term_no"))
+            hits = hits.unionByName(words.swept_marks(words.sweep(own, seed))).distinct()
         if misses is not None:
             asked = misses.select("doc_id", F.explode("misses").alias("m")).select("doc_id", F.col("m.text").alias("term"), F.lit(-1).alias("term_no")).where("term is not null").distinct()
             hits = hits.unionByName(words.swept_marks(words.sweep(own, asked))).distinct()
@@ -59,23 +68,69 @@ def rule_reviewer() -> Reviewer:
 
     def run(state: State, active: DataFrame) -> DataFrame:
         text = words.redacted_text(state.words.join(active, "doc_id", "left_semi"), state.word_marks, DEFAULT.reviewer_text_chars)
-        found = review.rule_entities(review.text_chunks(text)).select("doc_id", F.struct(F.lit("PII").alias("type"), "text").alias("m")).distinct()
-        misses = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("misses"))
-        j = active.join(misses, "doc_id", "left")
-        none = F.array().cast("array<struct<type:string,text:string>>")
-        return j.select("doc_id", F.when(F.col("misses").isNull(), "APPROVED").otherwise("REVISE").alias("verdict"), F.coalesce("misses", none).alias("misses"))
+        none = (F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<double>").alias("bbox"))
+        found = review.rule_entities(review.text_chunks(text)).select("doc_id", F.struct(F.lit("PII").alias("type"), "text", *none).alias("m")).distinct()
+        return _verdicts(active, found)
 
     return run
 
 
+def logo_reviewer(findings: DataFrame, parties: DataFrame) -> Reviewer:
+    """Misses are the findings (doc_id, fid, page of the rendered document, box, confidence, label) that are left once they are brought
+    to their source pages and those that a marked region covers or that are the preparer's own are gone."""
+
+    def run(state: State, active: DataFrame) -> DataFrame:
+        kept = logo_review(state, findings.join(active, "doc_id", "left_semi"), parties).where("outcome = 'kept'")
+        logo = F.struct(F.lit("Logo").alias("type"), F.col("label").alias("text"), "page", F.array("x0", "top", "x1", "bottom").alias("bbox"))
+        return _verdicts(active, kept.select("doc_id", logo.alias("m")))
+
+    return run
+
+
+def both(*reviewers: Reviewer) -> Reviewer:
+    """Approved by all of them; what any misses is missed."""
+
+    def run(state: State, active: DataFrame) -> DataFrame:
+        all_ = [r(state, active).select("doc_id", F.explode("misses").alias("m")) for r in reviewers]
+        return _verdicts(active, reduce(DataFrame.unionByName, all_))
+
+    return run
+
+
+def logo_review(state: State, findings: DataFrame, parties: DataFrame) -> DataFrame:
+    """``findings`` on their source pages, with the outcome of each."""
+    pages = regions.page_map(state.sizes, supplemental(state))
+    return regions.reviewed_findings(regions.remapped(findings, pages), state.regions, state.region_marks, state.words, identity.preparer_terms(parties))
+
+
+def _verdicts(active: DataFrame, found: DataFrame) -> DataFrame:
+    """found: doc_id and m, a miss."""
+    misses = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("misses"))
+    return active.join(misses, "doc_id", "left").select("doc_id", F.when(F.col("misses").isNull(), "APPROVED").otherwise("REVISE").alias("verdict"), F.coalesce("misses", F.array().cast(MISSES)).alias("misses"))
+
+
+def _boxed(state: State, misses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All regions and the keys of new ones: the boxes of missed logos, by the box tool."""
+    entries = misses.select("doc_id", F.posexplode("misses").alias("pos", "m")).select("doc_id", "pos", "m.type", "m.page", "m.bbox")
+    spans = regions.box_spans(review.logo_block(entries).select("doc_id", F.col("block").alias("spans_json")))
+    new = checkpointed(regions.apply_boxes(state.regions, state.sizes, spans)[0])
+    return state.regions.unionByName(new.select(*state.regions.columns)), new.select(*words.KEY)
+
+
 def run_loop(state: State, redactor: Redactor, reviewer: Reviewer, settings: Settings = DEFAULT, most: int | None = None) -> tuple[State, DataFrame]:
-    """The last state, and the history of all iterations (run_id is the doc_id) with the decision after each."""
+    """The last state, and the history of all iterations (run_id is the doc_id) with the decision after each, and feedback_json: what
+    the redactor gets where it goes on."""
     most = max(1, settings.max_iterations if most is None else most)
     active = checkpointed(state.sizes.select("doc_id").distinct())
     misses: DataFrame | None = None
     history: DataFrame | None = None
     for iteration in range(1, most + 1):
+        boxed = None
+        if misses is not None:
+            all_regions, boxed = _boxed(state, misses)
+            state = replace(state, regions=checkpointed(all_regions))
         hits, hit_regions = redactor(state, active, misses, iteration)
+        hit_regions = hit_regions if boxed is None else hit_regions.unionByName(boxed)
         new_words = checkpointed(words.newly_marked(state.word_marks, words.marked(hits, state.words.select(*words.KEY))))
         new_regions = checkpointed(words.newly_marked(state.region_marks, words.marked(hit_regions, state.regions.select(*words.KEY))))
         split = state.split.union(regions.split_pages(state.regions, new_regions)).distinct()
@@ -85,7 +140,7 @@ def run_loop(state: State, redactor: Redactor, reviewer: Reviewer, settings: Set
         row = verdicts.join(added(new_words, "word_delta"), "doc_id", "left").join(added(new_regions, "region_delta"), "doc_id", "left")
         buckets = [F.size(_of_type(t)).alias(t.lower()) for t in metrics.MISS_TYPES]
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-        row = row.select(F.col("doc_id").alias("run_id"), F.lit(iteration).alias("iteration"), "verdict", F.size("misses").alias("missed_count"), zero("word_delta"), zero("region_delta"), *buckets)
+        row = row.select(F.col("doc_id").alias("run_id"), F.lit(iteration).alias("iteration"), "verdict", F.size("misses").alias("missed_count"), zero("word_delta"), zero("region_delta"), *buckets, F.to_json("misses").alias("missed"))
         history = checkpointed(row if history is None else history.unionByName(row))
         decided = metrics.decisions(history, most, settings.min_iterations).where(F.col("iteration") == iteration)
         on = decided.where(F.col("decision").isin("forced", "feedback")).select(F.col("run_id").alias("doc_id"), "decision")
@@ -94,7 +149,9 @@ def run_loop(state: State, redactor: Redactor, reviewer: Reviewer, settings: Set
             break
         active = left.select("doc_id")
         misses = verdicts.join(left.where("decision = 'feedback'"), "doc_id", "left_semi")
-    return state, metrics.decisions(history, most, settings.min_iterations)
+    done = metrics.decisions(history, most, settings.min_iterations)
+    asked = review.feedback_json(F.col("missed"), F.lit(""), F.col("decision") == "forced")
+    return state, done.withColumn("feedback_json", F.when(F.col("decision").isin("forced", "feedback"), asked)).drop("missed")
 
 
 def _of_type(name: str):

@@ -233,6 +233,8 @@ def test_redacted_texts_are_whole(spark, tmp_path):
     assert QUERIES["redacted_text_view"](spark, str(tmp_path)).first().text == whole[:60_000]
     assert cli.main(["--input", str(tmp_path / "documents.parquet"), "--output", str(tmp_path / "out"), "--term", "of the"]) == 0
     assert spark.read.parquet(str(tmp_path / "out" / "text")).first().text == whole
+    audit = json.loads(spark.read.text(str(tmp_path / "out" / "audit")).first().value)
+    assert [x["iteration"] for x in audit["history"]] == [1, 2] and audit["history"][-1]["decision"] == "approved"
 
 
 def test_loop(spark):
@@ -247,6 +249,34 @@ def test_loop(spark):
     assert supplemental(s).count() == 1
 
 
+def test_loop_with_logos(spark):
+    """The reviewer's logos become marked boxes, the preparer's own and covered ones don't; identity terms seed the first pass."""
+    from redsieve.plans.loop import both, logo_reviewer
+
+    w = page_words(spark, "Acme builds rockets", doc_id=1).union(page_words(spark, "all is plain here", doc_id=2))
+    none = spark.createDataFrame([], "doc_id long, page int, idx int")
+    reg = spark.createDataFrame([region(0, 0, (0, 0, 9, 9), doc_id=2)], REGION)
+    party = "doc_id long, party struct<name:string,aliases:array<string>,tickers:array<string>,subsidiaries:array<string>,people:array<string>,industry:string,evidence:string>"
+    of = lambda i, name: (i, (name, [], [], [], [], "", ""))
+    parties = spark.createDataFrame([of(1, "acme")], party)
+    preparers = spark.createDataFrame([of(1, "Printer"), of(2, "Printer")], party)
+    finding = "doc_id long, fid string, page int, x0 double, top double, x1 double, bottom double, confidence double, label string"
+    rows = [(1, "a", 0, 300.0, 300.0, 400.0, 340.0, 0.9, "brand logo"), (1, "b", 0, 300.0, 400.0, 400.0, 440.0, 0.9, "Printer logo"), (2, "c", 0, 0.0, 0.0, 9.0, 9.0, 0.9, "logo")]
+    s = State(w, sizes(spark, 1, 1).union(sizes(spark, 1, 2)), reg, none, none, none.select("doc_id", "page"))
+    reviewer = both(rule_reviewer(), logo_reviewer(spark.createDataFrame(rows, finding), preparers))
+    s, h = run_loop(s, term_redactor(spark.createDataFrame([], "term_no int, term string"), parties=parties), reviewer)
+    got = {(r.run_id, r.iteration): r for r in h.collect()}
+    assert {k: r.decision for k, r in got.items()} == {(1, 1): "feedback", (1, 2): "approved", (2, 1): "forced", (2, 2): "approved"}
+    assert got[1, 1].logo == 1 and got[1, 2].region_delta == 1
+    asked = json.loads(got[1, 1].feedback_json)
+    assert json.loads(asked["missed"]) == [{"type": "Logo", "text": "brand logo", "page": 0, "bbox": [300.0, 300.0, 400.0, 340.0]}]
+    assert json.loads(got[2, 1].feedback_json)["missed"] == "[]" and got[1, 2].feedback_json is None
+    new = s.regions.where("doc_id = 1").collect()
+    assert [(r.idx, r.kind, r.x0, r.top, r.x1, r.bottom) for r in new] == [(0, "logo", 295.0, 295.0, 405.0, 345.0)]
+    assert s.region_marks.where("doc_id = 1").count() == 1
+    assert words.redacted_text(s.words, s.word_marks).where("doc_id = 1").first().text.endswith("[REDACTED] builds rockets")
+
+
 def test_sinks(spark, tmp_path, sf_dir):
     from redsieve.plans.catalog import _runs
     from redsieve.plans.relations import Relations
