@@ -215,6 +215,10 @@ from boxes b join sizes s on s.doc_id = b.doc_id and s.page = b.page left join n
     "region_summary": _with(_WORDS, _DETECTIONS, _REGIONS)
     + "select doc_id, count(*) as regions, count(distinct page) as pages, count(*) filter (strategy = 'inline') as inline, count(*) filter (strategy = 'page_split') as page_split from regions group by doc_id",
     "verdict_entries": _with(_ANSWERS) + "select doc_id, verdict, feedback, page, 'logo' as type, 4 as corners from answers",
+    "feedback_payload": _with(_ANSWERS)
+    + r"""select doc_id, case when verdict = 'APPROVED'
+  then '{"missed":"[]","feedback":"Approved, but the least number of passes isn''t reached: scan once more under the custom rules, borderline names, addresses and identifiers above all."}'
+  else '{"missed":"[{\"bbox\":[1,2,3,4.5],\"page\":' || page || ',\"type\":\"logo\"}]","feedback":"again"}' end as feedback_json from answers""",
     "draw_list": _with(_WORDS, _SWEEP, _DETECTIONS, _REGIONS, _SUPPLEMENT)
     + """, chosen as (
   select w.doc_id, w.page, 0 as z, w.idx, w.x0, w.top, w.x1, w.bottom from words w semi join word_marks m on w.doc_id = m.doc_id and w.page = m.page and w.idx = m.idx

@@ -29,11 +29,6 @@ def test_same_rows_as_sql(spark, sf_dir, db, name):
     assert sorted(str(tuple(r)) for r in got.select(*columns).collect()) == rows
 
 
-@pytest.mark.parametrize("name", sorted({"feedback_payload"}))
-def test_runs_without_sql(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
-
-
 def test_spatial_joins_are_no_nested_loops(spark, sf_dir):
     for name in ("region_strategy", "occluded_words", "finding_filter", "term_sweep_marks"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
