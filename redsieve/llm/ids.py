@@ -8,8 +8,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Folder of the vocabulary files; None: where the installed package keeps them.
 VOCABULARIES: str | None = None
@@ -35,6 +38,20 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Ids of parts; those that aren't known are asked for, and kept as long as there is room."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.ask(part)
+        if len(self) < MOST_PARTS and len(part) <= LONGEST_PART:
+            self[part] = ids
+        return ids
+
+
 class Encoder:
     """encode() returns the ids of each text as little-endian unsigned 32-bit integers."""
 
@@ -47,11 +64,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.drops_spaces = name.startswith("word_")
         self.model, self.characters = self.tokenizer.model, _byte_characters()
-        self.known: dict[str, bytes] = {}
-        self.tails = dict(zip(".,", self._plain([".", ","]), strict=True))
+        self.known = _Known(self._ids)
+        self.tails = {t: self._plain(t) for t in ".,"}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _parts(self, text: str) -> list[str]:
         if self.drops_spaces:
@@ -63,42 +80,46 @@ class Encoder:
         word = core if self.drops_spaces else core.removeprefix(" ")
         return word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word) is not None)
 
-    def _word(self, core: str) -> bytes:
-        """Ids of such letters: its model can be asked at once."""
+    def _ids(self, part: str) -> bytes:
+        """Ids of a part that isn't known. The model can be asked at once for letters; a full stop or comma after a letter is a piece of
+        its own for both tokenizers."""
+        core, tail = (part[:-1], part[-1]) if part[-1] in ".," else (part, "")
+        if not self._letters(core):
+            return self._plain(part)
+        if self.drops_spaces:
+            core = core.lower()
+        if core != part:
+            return self.known[core] + self.tails[tail] if tail else self.known[core]
         piece = core.encode().decode("latin-1").translate(self.characters)
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of parts that aren't known. A full stop or comma after a letter is a piece of its own for both tokenizers."""
-        known, out, others = self.known, {}, []
-        for p in new:
-            core, tail = (p[:-1], p[-1]) if p[-1] in ".," else (p, "")
-            if not self._letters(core):
-                others.append(p)
-                continue
-            if self.drops_spaces:
-                core = core.lower()
-            ids = known.get(core) or out.get(core)
-            if ids is None:
-                ids = out[core] = self._word(core)
-            out[p] = ids + self.tails[tail] if tail else ids
-        if others:
-            out |= zip(others, self._plain(others), strict=True)
-        room = MOST_PARTS - len(known)
-        known |= [x for x in out.items() if len(x[0]) <= LONGEST_PART][: max(0, room)]
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, known = [], self.known
-        for k in range(0, len(texts), 128):
-            cut = [self._parts(t) for t in texts[k : k + 128]]
-            fresh = self._learn(list(set().union(*cut).difference(known)))
-            for parts in cut:
-                try:
-                    out.append(b"".join(map(known.__getitem__, parts)))
-                except KeyError:  # the table is full, or a part is long
-                    out.append(b"".join([known[p] if p in known else fresh[p] for p in parts]))
-        return out
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self._parts(t))) for t in texts]
+
+
+    def encode_all(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end``, and the place after each text's last. Words are told apart by Arrow, so that
+        each is looked up once a batch."""
+        if not self.drops_spaces or pc.any(pc.match_substring_regex(texts, _CONTROL.pattern)).as_py():
+            found = self.encode(texts.to_pylist())
+            stop = np.array([end], dtype="<u4").tobytes()
+            ends = np.cumsum([len(x) // 4 + 1 for x in found], dtype=np.int64)
+            return np.frombuffer(b"".join([x + stop for x in found]), dtype="<u4"), ends
+        words = pc.utf8_split_whitespace(texts)
+        flat = words.flatten().dictionary_encode()
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        ids = [self.known[w] if w else b"" for w in flat.dictionary.to_pylist()]  # white space at an end leaves an empty word
+        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(ids), dtype="<u4")
+        many = sizes[codes]
+        after = np.concatenate([[0], np.cumsum(many)])  # ids before each word
+        first = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        ends = after[first[1:]]
+        own = np.repeat(starts[codes] - after[:-1], many) + np.arange(int(after[-1]))
+        out = np.insert(ids[own], ends, end) if len(ends) else ids[own]
+        return out, ends + np.arange(1, len(ends) + 1)
 
 
 def encoder(name: str, folder: str | None = VOCABULARIES) -> Encoder:

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,9 @@ from redsieve.llm.ids import encoder
 MAGIC = b"REPAIR01"
 _HEAD = struct.Struct("<8s9Q")
 
-#: Ids of a shard, about.
+#: Ids of a shard, about, and bytes of text that are encoded together.
 SHARD_IDS = 1 << 21
+SLICE = 12 << 20
 #: The least count of a pair that gets a nonterminal: a rule and its length take twelve bytes, each place that it shortens saves two.
 LEAST = 7
 #: Nonterminals of a round, and bits of the places of its table of pairs.
@@ -79,7 +81,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, least:
 
     Within, the ids that occur are numbered one after the other and nonterminals follow, so that most shards' pairs are numbers of
     four bytes. Rounds take the pairs of a count over a bar, which falls to a quarter each time; a rule that is replaced less than
-    ``least`` times, as its places are taken by others, is left out of its round. Once every frequent pair has been replaced, only pairs
+    ``least`` times, as its places are taken by others, is left out of its round, until only such are left. Once every frequent pair has been replaced, only pairs
     with a symbol of the last round can be frequent, and only those are counted."""
     used = np.flatnonzero(np.bincount(ids, minlength=1)).astype(np.uint32)
     number = np.zeros(int(used[-1]) + 1 if len(used) else 1, dtype=np.uint32)
@@ -87,7 +89,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, least:
     base = len(used)
     s, ends, rules, n_rules = number[ids], np.asarray(ends, dtype=np.int64), [], 0
     bar, settled, new = None, False, base  # new: the first symbol of the last round
-    salt = 0
+    salt = low = 0  # low: rounds under the last bar
     while True:
         wide = base + n_rules + min(len(s), MOST_NEW) >= 1 << 16
         kind, shift = (np.uint64, 32) if wide else (np.uint32, 16)
@@ -118,7 +120,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, least:
         places = places if at is None else at[places]
         keep = _every_second(places)
         places, which = places[keep], which[keep]
-        often = np.bincount(which, minlength=len(chosen)) >= least
+        low += bar == least
+        often = np.bincount(which, minlength=len(chosen)) >= (least if low < 2 else 1)
         if not often.any():
             often[:] = np.bincount(which, minlength=len(chosen)) > 0
         renumbered = np.cumsum(often) - 1
@@ -240,34 +243,50 @@ def from_bytes(data: bytes) -> Shard:
     return Shard(partition, number, doc_ids, n_ids, first, rules, lengths, offsets, symbols)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of SLICE bytes of text together, or one row with more."""
+    sizes = np.cumsum(pc.binary_length(batch["_t"]).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        done = int(sizes[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(sizes, done + SLICE, side="right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
 def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, shard_ids: int = SHARD_IDS) -> None:
     """The ids of every text and the end id, in shards by ascending doc_id."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         partition, number = TaskContext.get().partitionId(), 0
         of = encoder(vocabulary)
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         doc_ids: list[int | None] = []
+        lengths: list[np.ndarray] = []
         size = 0
 
         def full() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // 4 for x in held])
-            blob = to_bytes(partition, number, doc_ids, np.frombuffer(b"".join(held), dtype="<u4"), ends)
+            blob = to_bytes(partition, number, doc_ids, np.concatenate(held), np.cumsum(np.concatenate(lengths)))
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["shard"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), of.encode(part["_t"].to_pylist()), strict=True):
-                    held.append(ids + end)
-                    doc_ids.append(doc_id)
-                    size += len(ids) // 4 + 1
+            for part in _slices(batch):
+                ids, ends = of.encode_all(part["_t"], end_id)
+                own = part["doc_id"].to_pylist()
+                begin = 0
+                while begin < len(own):
+                    done = int(ends[begin - 1]) if begin else 0
+                    stop = min(len(own), int(np.searchsorted(ends, done + shard_ids - size)) + 1)
+                    held.append(ids[done : int(ends[stop - 1])])
+                    lengths.append(np.diff(ends[begin:stop], prepend=done))
+                    doc_ids += own[begin:stop]
+                    size += len(held[-1])
+                    begin = stop
                     if size >= shard_ids:
                         yield full()
-                        held, doc_ids, size, number = [], [], 0, number + 1
+                        held, doc_ids, lengths, size, number = [], [], [], 0, number + 1
         if held:
             yield full()
 

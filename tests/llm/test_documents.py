@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from redsieve.llm import ids, mixing, neardup, outliers, packing, qda, textstats, tokenbin
+from redsieve.llm import deltas, ids, mixing, neardup, outliers, packing, qda, textstats, tokenbin
 from redsieve.llm.common import saved, shared_path
 from redsieve.llm.queries import QUERIES
 from tests.llm.conftest import DOCUMENT, odd_documents, prose
@@ -298,6 +298,80 @@ def test_one_common_value_among_unlike_documents(spark):
     assert_components(spark.createDataFrame(rows, DOCUMENT), 2)
 
 
+def star(seed, n, size, most):
+    """Near copies of one text in which each changed its own share of words, up to ``most``: many alike but not linked."""
+    r = random.Random(seed)
+    base = prose(r, size).split()
+    copies = []
+    for _ in range(n):
+        share = r.random() * most
+        copies.append(" ".join(f"w{r.randint(0, 10**9)}" if r.random() < share else w for w in base))
+    return copies
+
+
+def test_near_duplicates_large_family(spark):
+    """2,000 members, of which two in three pairs have a Jaccard between 0.4 and 0.8; few are looked at."""
+    texts = star(3, 2000, 120, 0.16)
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    sets = [frozenset(zip(w, w[1:], strict=False)) for w in (t.split() for t in texts)]
+    r = random.Random(0)
+    share = lambda a, b: len(a & b) / len(a | b)
+    between = [0.4 <= share(*r.sample(sets, 2)) < 0.8 for _ in range(500)]
+    assert sum(between) > 250
+    looked = []
+    plain = deltas._candidates
+
+    def counted(*args):
+        out = saved(plain(*args), "candidates")
+        looked.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(deltas, "_candidates", counted)
+        got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, DOCUMENT), 2).collect()}
+    top = list(range(len(sets)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if root(i) != root(j) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            top[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {i: root(i) for i in range(len(sets))}
+    assert sum(looked) < 20_000  # of two million pairs
+
+
+def test_near_duplicates_without_a_centre(spark):
+    """All members changed as much, so no document is the centre; and two families, one derived from the other."""
+    r = random.Random(12)
+    base = prose(r, 150).split()
+    other = [w if r.random() > 0.1 else f"v{k}" for k, w in enumerate(base)]
+    change = lambda b, p: " ".join(f"w{r.randint(0, 10**9)}" if r.random() < p else w for w in b)
+    texts = [change(base, 0.05) for _ in range(60)] + [change(other, 0.03) for _ in range(60)] + [change(base, 0.02) for _ in range(40)]
+    assert_components(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCUMENT), 2)
+
+
+def test_two_texts_of_one_doc_id(spark):
+    """Each row is linked by its own text; both texts' links are found, in whatever order the rows come."""
+    r = random.Random(2)
+    a, b = prose(r, 200), prose(r, 200)
+    last = lambda t: " ".join([*t.split()[:-1], "changed"])
+    rows = [(5, a, "en", "a", 0), (5, b, "en", "a", 0), (7, last(b), "en", "a", 0), (8, last(a), "en", "a", 0), (9, prose(r, 90), "en", "a", 0), (None, last(a) + " x", "en", "a", 0)]
+    for some in (rows, rows[::-1]):
+        got = neardup.near_duplicates(spark.createDataFrame(some, DOCUMENT), 2).collect()
+        assert sorted((x.doc_id or 0, x.component_id, x.kept) for x in got) == [(0, 5, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
+        left = neardup.without_near_duplicates(spark.createDataFrame(some, DOCUMENT), 2).collect()
+        assert sorted((x.doc_id, x.text) for x in left) == sorted([(5, a), (5, b), (9, rows[4][1])])
+
+
+def test_sketches_miss_next_to_nothing():
+    assert neardup.least_shared(neardup.SKETCH, 0.8) == 32 and neardup.least_shared(10, 1.0) == 10 and neardup.least_shared(10, 0.0) == 0
+    r = np.random.default_rng(1)
+    assert (r.binomial(neardup.SKETCH, 0.8, 1_000_000) >= 32).all()
+
+
 # token ids
 
 

@@ -31,6 +31,24 @@ def test_stages(spark, sf_dir, documents):
         if name != "packing":
             assert out.schema == documents.schema
         docs = out
+    # run() gives what the stages give in a row
+    piece = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert Counter(map(piece, corpus_pipeline.run(spark, sf_dir).collect())) == Counter(map(piece, docs.collect()))
+
+
+def test_stages_on_odd_rows(spark, sf_dir, odd):
+    """Each stage in a row, and each by itself, on null, repeated and odd rows with other columns."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        alone = stage(spark, odd, sf_dir)
+        docs = saved(stage(spark, docs, sf_dir), name)
+        if name != "packing":
+            assert alone.columns == odd.columns and docs.columns == odd.columns
+            assert alone.count() <= (2 if name == "mixing" else 1) * odd.count()
+        else:
+            assert alone.count() >= odd.count()
+    rows = Counter((r.doc_id, r.text) for r in neardup.without_near_duplicates(odd).collect())
+    assert max(n for (_, text), n in rows.items() if (text or "").strip()) == 1  # repeated rows are one
 
 
 def test_run_on_nothing(spark, sf_dir, empty):
