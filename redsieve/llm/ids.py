@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,26 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
 #: Parts that a worker keeps, and the longest of them.
-MOST_PARTS = 1_000_000
+MOST_PARTS = 500_000
 LONGEST_PART = 48
 
+#: Bytes of text that are encoded together.
+SLICE = 4 << 20
+
 _made: dict[str, Encoder] = {}
 
 
+def slices(batch: pa.RecordBatch, column: str = "_t") -> Iterator[pa.RecordBatch]:
+    """Rows of SLICE bytes of text together, or one row with more."""
+    sizes = np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        done = int(sizes[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(sizes, done + SLICE, side="right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
 def _byte_characters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself where it can be seen, else the next from 256 on."""
     seen = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173}

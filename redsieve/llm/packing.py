@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redsieve.llm.common import saved, text_of
-from redsieve.llm.ids import encoder
+from redsieve.llm.ids import encoder, slices
 
 #: What the residuals of tokens, documents and cost, as parts of their capacities, count in a sequence's choice.
 WEIGHTS = (1.0, 1.0, 1.0)
@@ -36,18 +36,20 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(vocabulary)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), of.encode(batch["_t"].to_pylist()), strict=True):
-                data = ids + end
-                n = len(data) // 4
-                start, piece = 0, 0
-                stop = n % capacity or min(n, capacity)
-                while start < n:
-                    rows.append((doc_id, piece, start, stop - start, zlib.crc32(data[4 * start : 4 * stop])))
-                    start, stop, piece = stop, stop + capacity, piece + 1
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (batch["doc_id"].type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            for part in slices(batch):
+                rows: list[tuple] = []
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), of.encode(part["_t"].to_pylist()), strict=True):
+                    data = ids + end
+                    n = len(data) // 4
+                    start, piece = 0, 0
+                    stop = n % capacity or min(n, capacity)
+                    while start < n:
+                        rows.append((doc_id, piece, start, stop - start, zlib.crc32(data[4 * start : 4 * stop])))
+                        start, stop, piece = stop, stop + capacity, piece + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_of().alias("_t")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

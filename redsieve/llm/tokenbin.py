@@ -23,20 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redsieve.llm.blobs import read_blobs, write_blobs
 from redsieve.llm.common import saved, shared_path, text_of
-from redsieve.llm.ids import encoder
+from redsieve.llm.ids import encoder, slices
 
 MAGIC = b"REPAIR01"
 _HEAD = struct.Struct("<8s9Q")
 
-#: Ids of a shard, about, and bytes of text that are encoded together.
+#: Ids of a shard, about.
 SHARD_IDS = 1 << 21
-SLICE = 12 << 20
 #: The least count of a pair that gets a nonterminal: a rule and its length take twelve bytes, each place that it shortens saves two.
 LEAST = 7
 #: Nonterminals of a round, and bits of the places of its table of pairs.
@@ -243,17 +241,6 @@ def from_bytes(data: bytes) -> Shard:
     return Shard(partition, number, doc_ids, n_ids, first, rules, lengths, offsets, symbols)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of SLICE bytes of text together, or one row with more."""
-    sizes = np.cumsum(pc.binary_length(batch["_t"]).to_numpy(zero_copy_only=False).astype(np.int64))
-    begin = 0
-    while begin < batch.num_rows:
-        done = int(sizes[begin - 1]) if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(sizes, done + SLICE, side="right")))
-        yield batch.slice(begin, stop - begin)
-        begin = stop
-
-
 def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, shard_ids: int = SHARD_IDS) -> None:
     """The ids of every text and the end id, in shards by ascending doc_id."""
 
@@ -272,7 +259,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["shard"])
 
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 ids, ends = of.encode_all(part["_t"], end_id)
                 own = part["doc_id"].to_pylist()
                 begin = 0
