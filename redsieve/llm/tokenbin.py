@@ -78,7 +78,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, least:
     """symbols, offsets of the documents in them, rules. ends: the place after each document's last id.
 
     Within, the ids that occur are numbered one after the other and nonterminals follow, so that most shards' pairs are numbers of
-    four bytes. Rounds take the pairs of a count over a bar, which falls to a quarter each time; a rule that is replaced less than
+    four bytes. Rounds take the pairs of a count over a bar, which falls to a sixteenth each time; a rule that is replaced less than
     ``least`` times, as its places are taken by others, is left out of its round, until only such are left. Once every frequent pair has been replaced, only pairs
     with a symbol of the last round can be frequent, and only those are counted."""
     used = np.flatnonzero(np.bincount(ids, minlength=1)).astype(np.uint32)
@@ -105,9 +105,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, least:
             keys[ends[:-1] - 1] = nothing
         found, n = _counted(keys, nothing)
         if bar is None:
-            bar = max(least, int(n.max(initial=0)) // 4)
+            bar = max(least, int(n.max(initial=0)) // 16)
         while bar > least and not (n >= bar).any():
-            bar = max(least, bar // 4)
+            bar = max(least, bar // 16)
         chosen, count = found[n >= bar], n[n >= bar]
         complete = bar == least and len(chosen) <= MOST_NEW
         if len(chosen) > MOST_NEW:
@@ -125,7 +125,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, least:
         renumbered = np.cumsum(often) - 1
         keep = often[which]
         places, which = places[keep], renumbered[which[keep]]
-        settled = complete and sought and bool(often.all())
+        settled = complete and sought and (low > 1 or bool(often.all()))  # a pair of which no place is left is gone
         new = base + n_rules
         s[places] = which.astype(kind) + kind(new)
         stay = np.ones(len(s), dtype=bool)
@@ -134,7 +134,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int = VOCABULARY, least:
         chosen = chosen[often]
         rules.append(np.stack([chosen >> kind(shift), chosen & kind((1 << shift) - 1)], axis=1).astype(np.uint32))
         n_rules += len(chosen)
-        bar = max(least, bar // 4)
+        bar = max(least, bar // 16)
     back = np.concatenate([used, first + np.arange(n_rules, dtype=np.uint32)]).astype(np.uint32)
     offsets = np.concatenate([[0], ends]).astype(np.uint64)
     return back[s], offsets, back[np.concatenate(rules)] if rules else np.zeros((0, 2), dtype=np.uint32)
