@@ -28,19 +28,19 @@ _LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 MOST_PARTS = 500_000
 LONGEST_PART = 48
 
-#: Bytes of text that are encoded together.
-SLICE = 4 << 20
+#: Bytes of text that are encoded together: text by text, and word by word, where more text has fewer words that are new.
+SLICE, WORDS_SLICE = 4 << 20, 12 << 20
 
 _made: dict[str, Encoder] = {}
 
 
-def slices(batch: pa.RecordBatch, column: str = "_t") -> Iterator[pa.RecordBatch]:
-    """Rows of SLICE bytes of text together, or one row with more."""
+def slices(batch: pa.RecordBatch, most: int = SLICE, column: str = "_t") -> Iterator[pa.RecordBatch]:
+    """Rows of ``most`` bytes of text together, or one row with more."""
     sizes = np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
     while begin < batch.num_rows:
         done = int(sizes[begin - 1]) if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(sizes, done + SLICE, side="right")))
+        stop = max(begin + 1, int(np.searchsorted(sizes, done + most, side="right")))
         yield batch.slice(begin, stop - begin)
         begin = stop
 

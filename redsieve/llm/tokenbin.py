@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from redsieve.llm.blobs import read_blobs, write_blobs
 from redsieve.llm.common import saved, shared_path, text_of
-from redsieve.llm.ids import encoder, slices
+from redsieve.llm.ids import WORDS_SLICE, encoder, slices
 
 MAGIC = b"REPAIR01"
 _HEAD = struct.Struct("<8s9Q")
@@ -259,7 +259,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["shard"])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, WORDS_SLICE):
                 ids, ends = of.encode_all(part["_t"], end_id)
                 own = part["doc_id"].to_pylist()
                 begin = 0
