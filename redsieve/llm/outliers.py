@@ -15,6 +15,7 @@ five statistics have no scatter then. Ties and repeated rows count as they are.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,19 +101,7 @@ def _estimated(v: DataFrame, min_rows: int) -> DataFrame:
     return rows.withColumn("_g", F.explode(F.array_distinct(F.array("_g", F.lit(_ALL))))) if 0 < own < min_rows else rows
 
 
-def _cholesky(s: dict[tuple[int, int], Column], d: int) -> dict[tuple[int, int], Column]:
-    """Names of the columns of the lower factor, each an expression over those before it."""
-    out = {}
-    for j in range(d):
-        for i in range(j, d):
-            rest = s[i, j]
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out[i, j] = F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}")
-    return out
-
-
-def _distance(v: DataFrame, fit: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+def _distance(v: DataFrame, fit: DataFrame, names: list[str], keep: Sequence[str] = ()) -> DataFrame:
     """``v`` with ``_d2``, the squared Mahalanobis distance, by forward substitution in the stored factor. A row for each fit of
     the row's group."""
     d = len(names)
@@ -125,14 +114,19 @@ def _distance(v: DataFrame, fit: DataFrame, names: list[str], keep: tuple[str, .
     return df.select(*v.columns, *keep, sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(d)), F.lit(0.0)).alias("_d2"))
 
 
-def _factored(df: DataFrame, s: dict[tuple[int, int], Column], names: list[str]) -> DataFrame:
-    """_g, _s, the centre (columns m0, ... of ``df``), the factor of ``s`` and the logarithm of its determinant."""
+def _factored(df: DataFrame, s: dict[tuple[int, int], Column], names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """_g, _s, the centre (columns m0, ... of ``df``), the factor of ``s`` and the logarithm of its determinant. A projection for
+    each column of the factor, as the driver plans each of them."""
     d = len(names)
     s = {(i, k): e + (F.lit(FLOORS[names[i]] ** 2) if i == k else F.lit(0.0)) for (i, k), e in s.items()}
-    for (i, k), e in _cholesky(s, d).items():
-        df = df.withColumn(f"l{i}{k}", e)
+    for j in range(d):
+        rest = {i: s[i, j] for i in range(j, d)}
+        for i in rest:
+            for k in range(j):
+                rest[i] = rest[i] - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        df = df.withColumns({f"l{i}{j}": F.sqrt(e) if i == j else e / F.sqrt(rest[j]) for i, e in rest.items()})
     det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(d)), F.lit(0.0))
-    return df.select("_g", "_s", *[f"m{i}" for i in range(d)], *[f"l{i}{k}" for i in range(d) for k in range(i + 1)], det.alias("_det"))
+    return df.select("_g", "_s", *[f"m{i}" for i in range(d)], *[f"l{i}{k}" for i in range(d) for k in range(i + 1)], det.alias("_det"), *keep)
 
 
 def _starts(v: DataFrame, names: list[str]) -> DataFrame:
@@ -151,7 +145,7 @@ def _starts(v: DataFrame, names: list[str]) -> DataFrame:
         *[avg(F.tanh(f"z{i}") * F.tanh(f"z{k}"), f"t{i}{k}") for i, k in pairs],
         *[avg(F.when(F.col("r2") > 0, F.col(f"z{i}") * F.col(f"z{k}") / F.col("r2")), f"u{i}{k}") for i, k in pairs],
     )
-    got = saved(got.join(q, "_g"), "mcd-moments", files=1)
+    got = got.join(q, "_g")
     scaled = lambda e, i, k: F.coalesce(e, F.lit(0.0)) * F.col(f"w{i}") * F.col(f"w{k}")
     forms = (
         lambda i, k: F.lit(1.0 if i == k else 0.0),
@@ -159,25 +153,24 @@ def _starts(v: DataFrame, names: list[str]) -> DataFrame:
         lambda i, k: F.col(f"t{i}{k}"),
         lambda i, k: F.col(f"u{i}{k}") * d,
     )
-    fits = None
-    for at, form in enumerate(forms):
-        centre = {f"m{i}": F.col(f"c{i}") + (F.col(f"a{i}") * F.col(f"w{i}") if at == 1 else F.lit(0.0)) for i in range(d)}
-        one = _factored(got.withColumns(centre | {"_s": F.lit(at)}), {(i, k): scaled(form(i, k), i, k) for i, k in pairs}, names)
-        fits = one if fits is None else fits.union(one)
-    return saved(fits, "mcd-start", files=1)
+    centre = lambda at, i: F.col(f"c{i}") + (F.col(f"a{i}") * F.col(f"w{i}") if at == 1 else F.lit(0.0))
+    fits = F.array(*[F.struct(*[centre(at, i).alias(f"m{i}") for i in range(d)], *[scaled(form(i, k), i, k).alias(f"s{i}{k}") for i, k in pairs]) for at, form in enumerate(forms)])
+    each = got.select("_g", F.posexplode(fits).alias("_s", "_f")).select("_g", "_s", "_f.*")
+    return saved(_factored(each, {(i, k): F.col(f"s{i}{k}") for i, k in pairs}, names), "mcd-start", files=1)
 
 
 def _step(v: DataFrame, fit: DataFrame, names: list[str], share: float) -> DataFrame:
-    """One concentration step of each fit: the moments of the ``share`` of the group that lies closest to it."""
+    """One concentration step of each fit: the moments of the ``share`` of the group that lies closest to it. _last: the logarithm of
+    the determinant before the step. A fit's columns go along with its rows, so each pass over them has one join."""
     d = len(names)
-    near = _distance(v, fit, names, ("_s",))
-    cut = saved(near.groupBy("_g", "_s").agg(F.percentile_approx("_d2", share, RANKS).alias("_cut")), "mcd-cut", files=1)
-    near = near.join(cut, ["_g", "_s"]).where("_d2 <= _cut").join(fit.select("_g", "_s", *[F.col(f"m{i}").alias(f"_o{i}") for i in range(d)]), ["_g", "_s"])
-    x = [F.col(name) - F.col(f"_o{i}") for i, name in enumerate(names)]  # about the last centre, so that nothing cancels
-    got = near.groupBy("_g", "_s").agg(*[F.avg(x[i]).alias(f"a{i}") for i in range(d)], *[F.avg(x[i] * x[k]).alias(f"p{i}{k}") for i in range(d) for k in range(i + 1)], *[F.first(f"_o{i}").alias(f"o{i}") for i in range(d)])
+    of = [c for c in fit.columns if c != "_g"]
+    cut = saved(_distance(v, fit, names, of).groupBy("_g", *of).agg(F.percentile_approx("_d2", share, RANKS).alias("_cut")), "mcd-cut", files=1)
+    near = _distance(v, cut, names, ("_s", "_det", "_cut", *[f"m{i}" for i in range(d)])).where("_d2 <= _cut")
+    x = [F.col(name) - F.col(f"m{i}") for i, name in enumerate(names)]  # about the last centre, so that nothing cancels
+    got = near.groupBy("_g", "_s").agg(*[F.avg(x[i]).alias(f"a{i}") for i in range(d)], *[F.avg(x[i] * x[k]).alias(f"p{i}{k}") for i in range(d) for k in range(i + 1)], *[F.first(f"m{i}").alias(f"o{i}") for i in range(d)], F.first("_det").alias("_last"))
     # the truncated scatter is too small by a constant for each share; _calibrated() makes up for it
     s = {(i, k): F.col(f"p{i}{k}") - F.col(f"a{i}") * F.col(f"a{k}") for i in range(d) for k in range(i + 1)}
-    return saved(_factored(got.withColumns({f"m{i}": F.col(f"a{i}") + F.col(f"o{i}") for i in range(d)}), s, names), "mcd-fit", files=1)
+    return saved(_factored(got.withColumns({f"m{i}": F.col(f"a{i}") + F.col(f"o{i}") for i in range(d)}), s, names, ("_last",)), "mcd-fit", files=1)
 
 
 def least_determinant(v: DataFrame, names: list[str], share: float) -> DataFrame:
@@ -185,11 +178,11 @@ def least_determinant(v: DataFrame, names: list[str], share: float) -> DataFrame
     fit = _starts(v, names)
     for _ in range(2):
         fit = _step(v, fit, names, share)
-    best = fit.groupBy("_g").agg(F.min(F.struct("_det", "_s"))["_s"].alias("_s"))
-    fit = saved(fit.join(best, ["_g", "_s"]), "mcd-best", files=1)
+    best = F.min(F.struct("_det", "_s", *[c for c in fit.columns if c not in ("_g", "_s", "_det")]))
+    fit = saved(fit.groupBy("_g").agg(best.alias("_f")).select("_g", "_f.*"), "mcd-best", files=1)
     for _ in range(MOST_STEPS):
-        last, fit = fit, _step(v, fit, names, share)
-        fall = fit.join(last.select("_g", F.col("_det").alias("_last")), "_g").agg(F.max(F.col("_last") - F.col("_det"))).first()[0]
+        fit = _step(v, fit, names, share)
+        fall = fit.agg(F.max(F.col("_last") - F.col("_det"))).first()[0]
         if fall is None or fall <= SAME:
             break
     return fit
@@ -197,9 +190,9 @@ def least_determinant(v: DataFrame, names: list[str], share: float) -> DataFrame
 
 def _calibrated(v: DataFrame, fit: DataFrame, names: list[str]) -> DataFrame:
     """``fit`` with the factor that brings the median distance of a group to that of chi-squared."""
-    near = _distance(v, fit, names)
-    scale = near.groupBy("_g").agg(F.greatest(F.percentile_approx("_d2", 0.5, RANKS) / chi2_quantile(0.5, len(names)), F.lit(0.5)).alias("_scale"))
-    return saved(fit.join(scale, "_g"), "mcd-final", files=1)
+    of = [c for c in fit.columns if c != "_g"]
+    scale = F.greatest(F.percentile_approx("_d2", 0.5, RANKS) / chi2_quantile(0.5, len(names)), F.lit(0.5))
+    return saved(_distance(v, fit, names, of).groupBy("_g", *of).agg(scale.alias("_scale")), "mcd-final", files=1)
 
 
 def _verdicts(docs: DataFrame, share: float = 0.75, min_rows: int = 60, false_alarm: float = FALSE_ALARM) -> DataFrame:

@@ -113,6 +113,23 @@ def test_outliers_are_those_of_the_least_determinant(spark):
         assert np.mean(np.array(sorted(distance[g]))[: int((~bad).sum())] <= cut) > 0.98
 
 
+def test_plans_of_fits_stay_small(spark, monkeypatch):
+    """The driver plans each step anew and keeps room for it, so each table of fits joins the documents once."""
+    x, _ = contaminated(1, 150, 0.1)
+    names, plans = list(outliers.FLOORS), {}
+    v = spark.createDataFrame([("g", *map(float, r)) for r in x], ["_g", *names])
+
+    def noted(df, name, files=None):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return saved(df, name, files)
+
+    monkeypatch.setattr(outliers, "saved", noted)
+    outliers._calibrated(v, outliers.least_determinant(v, names, 0.75), names)
+    joins = {name: max(len(re.findall(r"\bJoin ", p)) for p in each) for name, each in plans.items()}
+    assert joins["mcd-start"] <= 2 and all(n <= 1 for name, n in joins.items() if name != "mcd-start")
+    assert sum(len(each) for each in plans.values()) <= 2 * (len(plans["mcd-fit"]) + 2)  # two tables a step, and four
+
+
 def test_outliers_of_documents(spark):
     r = random.Random(3)
     junk = lambda t: re.sub(r"(\w+)", r"\1%%%", t)
